@@ -177,3 +177,126 @@ def prose(lines: Column) -> Column:
 
 def without_trailing_space(lines: Column) -> Column:
     return F.transform(lines, lambda l: trim_end(l["raw"]))
+
+
+# Fixed value: alternatives one word may expand to.
+MAX_EXPANSIONS = 64
+
+
+def expand_braces(word: Column) -> Column:
+    """``a.{ts,js}`` as both words; at most :data:`MAX_EXPANSIONS` of them, leftmost group first."""
+    opens = F.length(word) - F.length(F.replace(word, F.lit("{"), F.lit("")))
+
+    def one_round(acc: Column, _: Column) -> Column:
+        expanded = F.transform(acc, _expand_first_group)
+        return F.slice(F.flatten(expanded), 1, MAX_EXPANSIONS)
+
+    rounds = F.when(opens > 0, F.sequence(F.lit(1), opens)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.array(word), one_round)
+
+
+def _expand_first_group(word: Column) -> Column:
+    group = F.regexp_extract(word, r"(\{[^{}]*\})", 1)
+    at = F.instr(word, group)
+    head = F.substring(word, F.lit(1), at - 1)
+    tail = F.substring(word, at + F.length(group), F.length(word))
+    inner = F.substring(group, F.lit(2), F.length(group) - 2)
+    return F.when(group == "", F.array(word)).otherwise(
+        F.transform(F.split(inner, ",", -1), lambda alt: F.concat(head, alt, tail))
+    )
+
+
+def file_refs(lines: Column) -> Column:
+    """Distinct files the lines of a section name, tasks and globs left out."""
+    from fleetledger.functions.paths import word_to_file_path
+
+    kept = F.filter(lines, lambda l: l["in_fence"] | task_status(l["trimmed"]).isNull())
+
+    def words(line: Column) -> Column:
+        spans = F.transform(
+            F.regexp_extract_all(line["trimmed"], F.lit("`([^`]+)`"), 1), lambda s: F.split(s, r"\s+", -1)
+        )
+        outside = F.split(F.regexp_replace(line["trimmed"], "`([^`]+)`", " "), r"\s+", -1)
+        return F.when(line["in_fence"], F.split(line["trimmed"], r"\s+", -1)).otherwise(
+            F.concat(F.flatten(spans), F.filter(outside, lambda w: w.contains("/")))
+        )
+
+    candidates = F.filter(
+        F.flatten(F.transform(kept, words)), lambda w: (w != "") & ~w.rlike("[*?]")
+    )
+    paths = F.transform(F.flatten(F.transform(candidates, expand_braces)), word_to_file_path)
+    return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
+
+
+# Cap of a brief and the line that says it was cut.
+MAX_BRIEF_CHARS = 6000
+SHORTENED = "_(shortened — the full section is in the original plan)_"
+
+
+def without_empty_headings(lines: Column) -> Column:
+    """Drop headings that own no content before the next heading at their depth or above.
+
+    Each line is coded as one character (heading depth, blank, content), so the test for a heading
+    is one anchored match on the codes after it.
+    """
+    codes = F.array_join(
+        F.transform(
+            lines,
+            lambda l: F.when(unfenced_depth(l) > 0, unfenced_depth(l).cast("string"))
+            .when(l["trimmed"] == "", "b")
+            .otherwise("c"),
+        ),
+        "",
+    )
+
+    def has_content(line: Column, i: Column) -> Column:
+        after = F.substring(codes, i + 2, F.length(codes))
+        depth = unfenced_depth(line)
+        test = F.when(depth == 0, F.lit(True))
+        for level in range(1, 7):
+            deeper = "".join(str(d) for d in range(level + 1, 7))
+            test = test.when(depth == level, after.rlike(f"^[b{deeper}]*c"))
+        return test
+
+    return F.filter(lines, has_content)
+
+
+def brief(lines: Column) -> Column:
+    """A section's text without its tasks and empty headings, capped at a line; null when nothing is left."""
+    kept = without_empty_headings(
+        F.filter(lines, lambda l: l["in_fence"] | task_status(l["trimmed"]).isNull())
+    )
+    joined = F.array_join(without_trailing_space(kept), "\n")
+    text = trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    rule = rf"{_BLANK}(?:-{{3,}}|\*{{3,}}|_{{3,}}){_BLANK}"
+    text = F.regexp_replace(text, rf"\A(?:{rule}(?:\n|\z))+", "")
+    text = trim(F.regexp_replace(text, rf"(?:(?:\n|\A){rule})+\z", ""))
+    room = MAX_BRIEF_CHARS - len(SHORTENED) - 2
+    head = F.substring(text, F.lit(1), F.lit(room + 1))
+    cut = F.length(head) - F.instr(F.reverse(head), "\n")
+    kept_chars = F.when(F.instr(head, "\n") > 1, cut).otherwise(room)
+    capped = F.concat(trim_end(F.substring(text, F.lit(1), kept_chars)), F.lit("\n\n" + SHORTENED))
+    return F.when(text != "", F.when(F.length(text) <= MAX_BRIEF_CHARS, text).otherwise(capped))
+
+
+def managed_block(text: Column, start: str, end: str) -> tuple[Column, Column]:
+    """(user, managed) parts of a text; a block that is never closed runs to the end."""
+    blocks = F.split(text, _literal(start), -1)
+    user = F.concat(
+        F.get(blocks, 0),
+        F.array_join(
+            F.transform(
+                F.slice(blocks, 2, F.size(blocks)),
+                lambda b: F.when(b.contains(end), F.substring(b, F.instr(b, end) + len(end), F.length(b))).otherwise(""),
+            ),
+            "",
+        ),
+    )
+    managed = F.array_join(
+        F.transform(F.slice(blocks, 2, F.size(blocks)), lambda b: F.substring_index(b, end, 1)), ""
+    )
+    return user, managed
+
+
+def _literal(text: str) -> str:
+    return r"\Q" + text + r"\E"

@@ -212,3 +212,46 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(".ts"),
         ).alias("path"),
     )
+
+
+# A path per event, covering the shapes a repository and its users produce. Valid in both dialects.
+RAW_PATH_SQL = """CASE k % 26
+  WHEN 0 THEN concat('src/app', n, '.ts') WHEN 1 THEN concat('node_modules/p', n, '/index.js')
+  WHEN 2 THEN 'dist/out.js' WHEN 3 THEN concat('../outside/x', n, '.ts') WHEN 4 THEN '/etc/passwd'
+  WHEN 5 THEN concat('C:/win/x', n, '.ts') WHEN 6 THEN 'a/../../b.ts' WHEN 7 THEN concat('a/b/../c', n, '.ts')
+  WHEN 8 THEN 'src/__proto__/x.ts' WHEN 9 THEN 'pnpm-lock.yaml' WHEN 10 THEN concat('pkg', n, '/Cargo.lock')
+  WHEN 11 THEN concat('docs/PLAN_', n, '.md') WHEN 12 THEN 'plan.MD' WHEN 13 THEN 'src/index.ts'
+  WHEN 14 THEN 'index.tsx' WHEN 15 THEN concat('lib/util', n, '.test.ts') WHEN 16 THEN 'README.md'
+  WHEN 17 THEN '.npmrc' WHEN 18 THEN concat('conf/app', n, '.yaml') WHEN 19 THEN concat('odd name (', n, ').ts')
+  WHEN 20 THEN concat('src', chr(92), 'win', chr(92), 'x.ts') WHEN 21 THEN 'packages/core/tsconfig.json'
+  WHEN 22 THEN '.session/STATE.md' WHEN 23 THEN concat('logs/deep/er/x', n, '.log')
+  WHEN 24 THEN concat('a.ts/b', n, '.tsx.ts') ELSE concat('build/k', n, '/') END"""
+
+# A word per event, as it may stand in prose around a file name.
+RAW_WORD_SQL = """CASE k % 13
+  WHEN 0 THEN concat('(src/a', n, '.ts),') WHEN 1 THEN concat('`lib/x.', n, '`') WHEN 2 THEN './pkg//y.go.'
+  WHEN 3 THEN concat('../up', n, '.ts') WHEN 4 THEN 'a/b/../c.py' WHEN 5 THEN '/abs/z.ts' WHEN 6 THEN 'plainword'
+  WHEN 7 THEN concat('[docs/d', n, '.md]!') WHEN 8 THEN '...' WHEN 9 THEN 'x/../../y.ts'
+  WHEN 10 THEN 'v1.2.3' WHEN 11 THEN concat('dir', n, '/') ELSE concat('"q', n, '.test.tsx";') END"""
+
+
+def raw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_id, event_id, path, word``: user-supplied paths and words, one of each per event."""
+    numbered = table(spark, sf_dir, "events").select(
+        _history_repo(), "event_id", _k().alias("k"), F.col("user_id").cast("string").alias("n")
+    )
+    return numbered.select(
+        "repo_id", "event_id", F.expr(RAW_PATH_SQL).alias("path"), F.expr(RAW_WORD_SQL).alias("word")
+    )
+
+
+IGNORE_FILE_SQL = """concat('# ignore', chr(10), '  dist/ ', chr(10), chr(10), '*.log', chr(10), '!keep.log', chr(10),
+  '**/*.yaml', chr(10), '**/index.ts', chr(10), CASE WHEN c_nationkey % 2 = 0 THEN 'logs' ELSE 'a.ts' END)"""
+
+
+def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ignore file per repository."""
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("repo-"), F.col("c_custkey").cast("string")).alias("repo_id"),
+        F.expr(IGNORE_FILE_SQL).alias("text"),
+    )
