@@ -8,6 +8,7 @@ from fleetledger.catalog.registry import query
 from fleetledger.catalog.relations import K, RELATIONS, WS, sql, trim
 from fleetledger.functions import paths as p
 from fleetledger.functions import text as t
+from fleetledger.functions.binding import unnest
 from fleetledger.operators import inventory
 from fleetledger.sources import bindings as b
 
@@ -180,8 +181,8 @@ def inferred_purpose(spark, sf):
     ),
 )
 def path_tokens(spark, sf):
-    lines = b.files(spark, sf).select("path", F.posexplode(t.lines_of(F.col("text"))).alias("pos", "line"))
-    tokens = lines.select("path", F.col("pos").cast("long").alias("pos"), F.explode(p.path_tokens(F.col("line"))).alias("s"))
+    lines = unnest(b.files(spark, sf), ["path"], t.lines_of(F.col("text")), ["pos", "line"])
+    tokens = unnest(lines, ["path", "pos"], p.path_tokens(F.col("line")), ["s"])
     return tokens.select("path", "pos", F.array_join("s", "|").alias("segments"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fleetledger.functions.binding import let
 from fleetledger.functions.text import WHITESPACE, lines_of, trim
 
 # Annotation syntax and limits.
@@ -68,6 +69,10 @@ def annotations(comment: Column) -> Column:
         lambda a: a["key"] != "",
     )
 
+    return let(lines, _fields)
+
+
+def _fields(lines: Column) -> Column:
     def first(keys: tuple[str, ...], value) -> Column:
         found = F.transform(F.filter(lines, lambda a: a["key"].isin(*keys)), lambda a: value(a["value"]))
         return F.get(F.filter(found, lambda v: v.isNotNull()), 0)

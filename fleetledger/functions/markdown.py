@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fleetledger.functions.binding import let
 from fleetledger.functions.text import WHITESPACE, trim, trim_end
 
 # Line shapes.
@@ -37,9 +38,14 @@ def scan_lines(text: Column) -> Column:
 
     The text is cut before every delimiter, so the n-th piece alternates outside and inside.
     """
-    pieces = F.split(text, _BEFORE_FENCE, -1)
-    opens = trim(F.substring_index(text, "\n", 1)).rlike(FENCE).cast("int")
+    cut = F.struct(
+        F.split(text, _BEFORE_FENCE, -1).alias("pieces"),
+        trim(F.substring_index(text, "\n", 1)).rlike(FENCE).cast("int").alias("opens"),
+    )
+    return let(cut, lambda c: _scan_pieces(c["pieces"], c["opens"]))
+
 
+def _scan_pieces(pieces: Column, opens: Column) -> Column:
     def lines(piece: Column, i: Column) -> Column:
         fences_before = i + opens
         last = i == F.size(pieces) - 1
@@ -77,14 +83,17 @@ def unfenced_depth(line: Column) -> Column:
 
 
 def sections(lines: Column, split_depth: Column) -> Column:
-    """Sections of a scanned file: a heading owns the lines up to the next one at or above the depth."""
+    """Sections of a scanned file: a heading owns the lines up to the next one at or above the depth.
+
+    Both arguments are used inside lambdas: pass stored columns or variables bound with ``let``.
+    """
     starts = F.filter(
         F.transform(lines, lambda line, i: F.struct(i.alias("i"), unfenced_depth(line).alias("depth"))),
         lambda s: (s["depth"] > 0) & (s["depth"] <= split_depth),
     )
 
-    def section(start: Column, n: Column) -> Column:
-        following = F.coalesce(F.get(starts, n + 1)["i"], F.size(lines))
+    def section(start: Column, n: Column, all_starts: Column) -> Column:
+        following = F.coalesce(F.get(all_starts, n + 1)["i"], F.size(lines))
         return F.struct(
             heading_text(F.get(lines, start["i"])["trimmed"]).alias("heading"),
             (start["i"] + 1).alias("line"),
@@ -92,7 +101,7 @@ def sections(lines: Column, split_depth: Column) -> Column:
             F.slice(lines, start["i"] + 2, following - start["i"] - 1).alias("body"),
         )
 
-    return F.transform(starts, section)
+    return let(starts, lambda found: F.transform(found, lambda s, n: section(s, n, found)))
 
 
 def position_noun(heading: Column) -> Column:
@@ -132,19 +141,20 @@ def est_sessions(trimmed: Column) -> Column:
     return F.when(value >= 1, value)
 
 
-def dependencies(trimmed: Column, nouns: tuple[str, ...] = POSITION_NOUNS) -> Column:
-    """Chunk ids of a ``depends on:`` line; empty when the line declares none."""
-    names = "|".join(dict.fromkeys(("chunk", *nouns)))
-    listed = F.regexp_extract(
-        trimmed, rf"(?i)depends\s+on:\s*(?:(?:{names})s?\s+)?([\d.,\s]+)", 1
-    )
+def dependencies(trimmed: Column, nouns: Column) -> Column:
+    """Chunk ids of a ``depends on:`` line; a noun before the ids must be ``chunk`` or one of ``nouns``."""
+    pattern = rf"(?i)depends\s+on:\s*(?:({'|'.join(POSITION_NOUNS)})s?\s+)?([\d.,\s]+)"
+    noun = F.lower(F.regexp_extract(trimmed, pattern, 1))
     ids = F.transform(
-        F.split(listed, ",", -1),
-        lambda s: F.nullif(F.regexp_extract(trim(s), r"^(\d+(?:\.\d+)?|\.\d+)", 1), F.lit("")).try_cast(
+        F.split(F.regexp_extract(trimmed, pattern, 2), ",", -1),
+        lambda s: F.nullif(F.regexp_extract(trim(s), r"^(\d+(?:\.\d*)?|\.\d+)", 1), F.lit("")).try_cast(
             "decimal(10,3)"
         ),
     )
-    return F.filter(ids, lambda v: v >= MIN_CHUNK_ID)
+    usable = noun.isin("", "chunk") | F.array_contains(nouns, noun)
+    return F.when(usable, F.filter(ids, lambda v: v >= MIN_CHUNK_ID)).otherwise(
+        F.array().cast("array<decimal(10,3)>")
+    )
 
 
 def boundary_confidence(trimmed: Column) -> Column:
@@ -249,7 +259,7 @@ def without_empty_headings(lines: Column) -> Column:
         "",
     )
 
-    def has_content(line: Column, i: Column) -> Column:
+    def has_content(codes: Column, line: Column, i: Column) -> Column:
         after = F.substring(codes, i + 2, F.length(codes))
         depth = unfenced_depth(line)
         test = F.when(depth == 0, F.lit(True))
@@ -258,19 +268,20 @@ def without_empty_headings(lines: Column) -> Column:
             test = test.when(depth == level, after.rlike(f"^[b{deeper}]*c"))
         return test
 
-    return F.filter(lines, has_content)
+    return let(codes, lambda bound: F.filter(lines, lambda line, i: has_content(bound, line, i)))
 
 
 def brief(lines: Column) -> Column:
     """A section's text without its tasks and empty headings, capped at a line; null when nothing is left."""
-    kept = without_empty_headings(
-        F.filter(lines, lambda l: l["in_fence"] | task_status(l["trimmed"]).isNull())
-    )
-    joined = F.array_join(without_trailing_space(kept), "\n")
+    kept = F.filter(lines, lambda l: l["in_fence"] | task_status(l["trimmed"]).isNull())
+    joined = let(kept, lambda k: F.array_join(without_trailing_space(without_empty_headings(k)), "\n"))
     text = trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
     rule = rf"{_BLANK}(?:-{{3,}}|\*{{3,}}|_{{3,}}){_BLANK}"
     text = F.regexp_replace(text, rf"\A(?:{rule}(?:\n|\z))+", "")
-    text = trim(F.regexp_replace(text, rf"(?:(?:\n|\A){rule})+\z", ""))
+    return let(trim(F.regexp_replace(text, rf"(?:(?:\n|\A){rule})+\z", "")), _capped_brief)
+
+
+def _capped_brief(text: Column) -> Column:
     room = MAX_BRIEF_CHARS - len(SHORTENED) - 2
     head = F.substring(text, F.lit(1), F.lit(room + 1))
     cut = F.length(head) - F.instr(F.reverse(head), "\n")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from fleetledger.functions.binding import let
+
 # Directories never walked.
 ALWAYS_IGNORED_DIRS = ("node_modules", ".git", "dist", "build", ".session")
 # Generated dependency locks.
@@ -236,8 +238,12 @@ def normalize_path(path: Column) -> Column:
 def word_to_file_path(word: Column) -> Column:
     """The path a word names once its punctuation is trimmed; null when it names none."""
     bare = F.regexp_replace(word, r"""^[("'\[<]+|[)"'\]>.,;:!]+$""", "")
-    norm = normalize_path(bare)
-    names_file = (
+    both = F.struct(bare.alias("bare"), normalize_path(bare).alias("norm"))
+    return let(both, lambda w: F.when(_names_file(w["bare"], w["norm"]), w["norm"]))
+
+
+def _names_file(bare: Column, norm: Column) -> Column:
+    return (
         (bare != "")
         & ~F.contains(bare, F.lit("\\"))
         & ~bare.startswith("/")
@@ -246,4 +252,3 @@ def word_to_file_path(word: Column) -> Column:
         & ~bare.endswith("/")
         & basename(norm).rlike(FILE_SEGMENT)
     )
-    return F.when(names_file, norm)

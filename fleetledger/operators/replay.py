@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fleetledger.functions.binding import unnest
 from fleetledger.functions.paths import is_scorable
 from fleetledger.functions.refs import declared_files
 from fleetledger.functions.text import ratio
@@ -46,11 +47,13 @@ def newest_boundaries(commits: DataFrame, limit: int = 10) -> DataFrame:
 def prompt_declarations(commits: DataFrame, prompts: DataFrame) -> DataFrame:
     """``repo_id, boundary, path``: scorable paths each boundary's prompt declares."""
     written = commits.where("is_boundary").select("repo_id", "sha", F.col("ordinal").alias("boundary"))
-    return (
-        written.join(prompts, ["repo_id", "sha"])
-        .select("repo_id", "boundary", F.explode(declared_files(F.col("text"))).alias("path"))
-        .where(is_scorable(F.col("path")))
+    declared = unnest(
+        written.join(prompts, ["repo_id", "sha"]),
+        ["repo_id", "boundary"],
+        declared_files(F.col("text")),
+        ["path"],
     )
+    return declared.where(is_scorable(F.col("path")))
 
 
 def net_changes(commits: DataFrame, changes: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ import duckdb
 TESTDATA = Path("/root/testdata")
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: Path) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -39,11 +42,15 @@ def cell(value):
 
 def compare(spark, con, name, query, sql, sf_dir):
     df = query(spark, str(sf_dir))
+    start = time.time()
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     if sql is None:
         return len(got[1]), None
+    start = time.time()
     rel = con.execute(sql)
     want = canonical([d[0] for d in rel.description], rel.fetchall())
+    TIMES["duckdb"] = time.time() - start
     if got[0] != want[0]:
         return len(got[1]), f"columns {got[0]} != {want[0]}"
     if got[1] != want[1]:
@@ -62,14 +69,14 @@ def main(argv: list[str]) -> int:
     for name, query in queries().items():
         if argv[1:] and not any(name.startswith(p) for p in argv[1:]):
             continue
-        start = time.time()
+        TIMES.update(spark=0.0, duckdb=0.0)
         try:
             rows, problem = compare(spark, con, name, query, sqls.get(name), sf_dir)
         except Exception as error:  # report and go on to the next query
             rows, problem = 0, f"{type(error).__name__}: {str(error)[:700]}"
         bad += problem is not None
         mark = "ok  " if problem is None else "FAIL"
-        print(f"{mark} {name:34s} rows={rows} {time.time() - start:.1f}s{' (rows only)' if name not in sqls else ''}", flush=True)
+        print(f"{mark} {name:34s} rows={rows} spark {TIMES['spark']:.1f}s duckdb {TIMES['duckdb']:.1f}s{' (rows only)' if name not in sqls else ''}", flush=True)
         if problem:
             print("   ", problem, flush=True)
     print(f"{bad} failing")
