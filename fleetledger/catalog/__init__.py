@@ -1,6 +1,6 @@
 """Every named query over the test tables, with the SQL that checks it."""
 
-from fleetledger.catalog import budget, history, memory, paths, plans  # noqa: F401
+from fleetledger.catalog import budget, history, lint, memory, paths, plans  # noqa: F401
 from fleetledger.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

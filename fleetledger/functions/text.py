@@ -6,6 +6,9 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters ECMAScript's String.trim removes.
 WHITESPACE = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITESPACE_CHARS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 BYTES_PER_TOKEN = 4
 HASH_HEX_CHARS = 16
 BINARY_PROBE_BYTES = 8000
@@ -35,11 +38,11 @@ def slice_lines(text: Column, start: Column, end: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Trim all Unicode whitespace, not only spaces."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{WHITESPACE}]+$", "")
+    return F.rtrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def normalize_line(line: Column) -> Column:
