@@ -391,11 +391,8 @@ def signature(spark, sf):
 @query(
     "sc25_managed_block",
     sql(
-        """SELECT path, md5(CASE WHEN instr(text, 'en') = 0 THEN text
-                 ELSE list_aggregate(list_transform(string_split(text, 'en'), lambda b, i: CASE WHEN i = 1 THEN b
-                   WHEN contains(b, 'er') THEN substr(b, instr(b, 'er') + 2) ELSE '' END), 'string_agg', '') END) AS user_part,
-               md5(coalesce(list_aggregate(list_transform(list_slice(string_split(text, 'en'), 2, NULL),
-                   lambda b: split_part(b, 'er', 1)), 'string_agg', ''), '')) AS managed_part FROM files""",
+        r"""SELECT path, md5(regexp_replace(text, '(?s)en(.*?)(?:er|\z)', '', 'g')) AS user_part,
+               md5(array_to_string(regexp_extract_all(text, '(?s)en(.*?)(?:er|\z)', 1), '')) AS managed_part FROM files""",
         "files",
     ),
 )

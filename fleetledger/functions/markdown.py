@@ -292,21 +292,8 @@ def _capped_brief(text: Column) -> Column:
 
 def managed_block(text: Column, start: str, end: str) -> tuple[Column, Column]:
     """(user, managed) parts of a text; a block that is never closed runs to the end."""
-    blocks = F.split(text, _literal(start), -1)
-    user = F.concat(
-        F.get(blocks, 0),
-        F.array_join(
-            F.transform(
-                F.slice(blocks, 2, F.size(blocks)),
-                lambda b: F.when(b.contains(end), F.substring(b, F.instr(b, end) + len(end), F.length(b))).otherwise(""),
-            ),
-            "",
-        ),
-    )
-    managed = F.array_join(
-        F.transform(F.slice(blocks, 2, F.size(blocks)), lambda b: F.substring_index(b, end, 1)), ""
-    )
-    return user, managed
+    block = rf"(?s){_literal(start)}(.*?)(?:{_literal(end)}|\z)"
+    return F.regexp_replace(text, block, ""), F.array_join(F.regexp_extract_all(text, F.lit(block), 1), "")
 
 
 def _literal(text: str) -> str:
