@@ -129,7 +129,7 @@ def neighbours(absent: DataFrame, indexed: DataFrame, taken: DataFrame, per_path
     """Indexed files beside each absent path, in the closest directory that has any.
 
     ``absent`` has ``repo_id, chunk_id, path, path_no``. Picks of one chunk depend on its earlier picks,
-    so the final choice walks each chunk in order. Every absent path brings at most ``per_chunk`` +
+    so the final choice walks the chunk's candidates in order. Every absent path brings at most ``per_chunk`` +
     ``per_path`` candidates to it, enough to survive all earlier picks.
     """
     from fleetledger.functions.paths import dirname, extname
@@ -160,18 +160,16 @@ def neighbours(absent: DataFrame, indexed: DataFrame, taken: DataFrame, per_path
         .select("repo_id", "chunk_id", "path_no", "path", "file", "rank")
     )
 
-    def pick(rows):
-        chosen, used = [], set()
-        for _, group in rows.sort_values(["path_no", "rank"]).groupby("path_no", sort=False):
-            fresh = group[~group["file"].isin(used)].head(min(per_path, per_chunk - len(used)))
-            used.update(fresh["file"])
-            chosen.append(fresh)
-            if len(used) >= per_chunk:
-                break
-        import pandas as pd
+    def pick(acc: Column, c: Column) -> Column:
+        full = F.size(acc) >= per_chunk
+        used = F.exists(acc, lambda p: p["file"] == c["file"])
+        beside_path = F.size(F.filter(acc, lambda p: p["path_no"] == c["path_no"]))
+        row = F.struct(c["path_no"].alias("path_no"), c["path"].alias("path"), c["file"].alias("file"))
+        return F.when(full | used | (beside_path >= per_path), acc).otherwise(F.concat(acc, F.array(row)))
 
-        return pd.concat(chosen)[["repo_id", "chunk_id", "path", "file"]]
-
-    return candidates.groupBy("repo_id", "chunk_id").applyInPandas(
-        pick, "repo_id string, chunk_id long, path string, file string"
+    per_plan = candidates.groupBy("repo_id", "chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("path_no", "rank", "path", "file"))).alias("found")
     )
+    none = F.array().cast("array<struct<path_no:int,path:string,file:string>>")
+    picked = unnest(per_plan, ["repo_id", "chunk_id"], F.aggregate("found", none, pick))
+    return picked.select("repo_id", "chunk_id", "path", "file")
