@@ -232,9 +232,8 @@ def declared_files(spark, sf):
 @query(
     "sc5_normalized_refs",
     sql(
-        r"""SELECT event_id, path, CASE WHEN path LIKE '+%' OR NOT (contains(path, '/') OR contains(path, '.')) THEN NULL
-              ELSE split_part(CASE WHEN strpos(path, ' (') > 0 THEN split_part(path, ' (', 1) ELSE path END, '#', 1) END AS ref
-            FROM raw_paths""",
+        r"""SELECT event_id, path, CASE WHEN contains(cut, '/') OR contains(cut, '.') THEN cut END AS ref
+            FROM (SELECT *, split_part(path, ' (', 1) AS cut FROM raw_paths)""",
         "raw_paths",
     ),
 )
@@ -351,7 +350,7 @@ def trimmed_lines(spark, sf):
                  + CASE WHEN len(w) - n > 0 THEN length(', +' || (len(w) - n) || ' more') ELSE 0 END <= 200 AS fits
              FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS n FROM (
                SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS w FROM conversations)))
-           GROUP BY ALL)"""
+           GROUP BY conv_id, turn, w)"""
     ),
 )
 def fitted_list(spark, sf):
@@ -464,13 +463,13 @@ def pairwise_verdicts(spark, sf):
         """SELECT path, line, item_id AS marker_id, CAST(start AS INTEGER) AS start, false AS attributed FROM (
              SELECT path, line, item_id, marker, content, unnest(range(1, length(content) - length(marker) + 2)) AS start FROM (
                SELECT l.path, l.pos + 1 AS line, m.item_id, m.marker, l.line AS content FROM plain_lines l
-               JOIN (SELECT item_id, split_part(text, '.', 1) AS marker FROM benchmark) m ON contains(l.line, m.marker)))
+               JOIN (SELECT item_id, text AS marker FROM benchmark) m ON contains(l.line, m.marker)))
            WHERE substr(content, start, length(marker)) = marker""",
         "plain_lines",
     ),
 )
 def marker_occurrences(spark, sf):
     markers = b.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("marker_id"), F.substring_index("text", ".", 1).alias("marker")
+        F.col("item_id").alias("marker_id"), F.col("text").alias("marker")
     )
     return evals.marker_occurrences(b.files(spark, sf), markers, ["path"])

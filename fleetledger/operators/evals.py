@@ -179,16 +179,28 @@ def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.
     return estimate.withColumn("one", F.lit(1)).join(bounds.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def _runs(words: Column, length: int) -> Column:
+    """Every run of ``length`` consecutive words."""
+    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + n) for n in range(length)]))
+
+
 def _anchors(words: Column) -> Column:
-    """Every run of :data:`ANCHOR_WORDS` consecutive words."""
+    """Distinct runs of one to :data:`ANCHOR_WORDS` words."""
+    lengths = range(1, ANCHOR_WORDS + 1)
+    return F.array_distinct(let(words, lambda w: F.concat(*[_runs(w, n) for n in lengths])))
+
+
+def _marker_anchor(inner: Column) -> Column:
+    """The longest-spelled run of a marker's inner words, at the greatest run length they allow."""
 
-    def runs(w: Column) -> Column:
-        starts = F.when(
-            F.size(w) >= ANCHOR_WORDS, F.sequence(F.lit(0), F.size(w) - ANCHOR_WORDS)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + n) for n in range(ANCHOR_WORDS)]))
+    def choose(w: Column) -> Column:
+        runs = F.when(F.size(w) >= 3, _runs(w, 3)).when(F.size(w) == 2, _runs(w, 2)).otherwise(w)
+        return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
 
-    return F.array_distinct(let(words, runs))
+    return let(inner, choose)
 
 
 def marker_lines(texts: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,7 +213,7 @@ def marker_lines(texts: DataFrame, markers: DataFrame, keys: list[str]) -> DataF
     words = F.regexp_extract_all("marker", F.lit(f"({WORD})"), 1)
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     usable = markers.where((F.length("marker") > 0) & ~F.col("marker").contains("\n"))
-    split = usable.withColumn("anchor", F.array_max(_anchors(inner)))
+    split = usable.withColumn("anchor", _marker_anchor(inner))
     by_words = split.where("anchor IS NOT NULL")
     by_gram = split.where("anchor IS NULL").withColumn("gram_chars", F.least(F.length("marker"), F.lit(GRAM_CHARS)))
     row_keys = [*keys, "pos", "content"]
