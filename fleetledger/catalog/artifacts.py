@@ -479,6 +479,51 @@ def health_audit(spark, sf):
     return health_findings(spark, sf).select("repo_id", "severity", "code")
 
 
+def _health_rule(rule: str, code: str):
+    @query(f"{rule}_{code.lower()}", sql(f"SELECT repo_id, severity FROM health WHERE code = '{code}'", "health"))
+    def run(spark, sf):
+        return health_findings(spark, sf).where(F.col("code") == code).select("repo_id", "severity")
+
+
+for _rule, _code in (
+    ("h1", "SESSION_STATE_INVALID"),
+    ("h2", "PLAN_MISSING"),
+    ("h4", "STALE_INDEX_ENTRIES"),
+    ("h6", "FILE_INDEX_LARGE"),
+    ("h7", "ALWAYS_INCLUDE_CREEP"),
+    ("h8", "BUDGET_EXCEEDED"),
+    ("h9", "ALL_TASKS_DONE"),
+    ("h10", "PROMPT_TOO_LONG"),
+    ("h11", "SESSION_STALE"),
+    ("h12", "AI_INDEX_STALE"),
+):
+    _health_rule(_rule, _code)
+
+
+@query(
+    "h3_file_index_invalid",
+    "SELECT DISTINCT 'repo-' || o_custkey AS repo_id, 'error' AS severity FROM orders WHERE o_custkey % 7 = 0",
+)
+def file_index_invalid(spark, sf):
+    states = a.session_states(_orders(spark, sf, STATE), ["o_custkey"])
+    rows = states.select(F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo_id"), "error")
+    return health.invalid_sources(rows, "FILE_INDEX_INVALID", "file index").select("repo_id", "severity")
+
+
+@query(
+    "h5_missing_chunk_files",
+    sql(
+        """SELECT repo_id, count(*) || ' tagged chunks have no plan file' AS message FROM (
+             SELECT DISTINCT repo_id, chunk_id FROM (SELECT repo_id, unnest(depends_on) AS chunk_id FROM chunks) t
+             WHERE chunk_id <> 0 AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.repo_id = t.repo_id AND c.chunk_id = t.chunk_id))
+           GROUP BY 1""",
+        "chunks",
+    ),
+)
+def missing_chunk_file_rule(spark, sf):
+    return health.missing_chunk_files(evidence_queries.missing_chunk_files(spark, sf)).select("repo_id", "message")
+
+
 # Streams --------------------------------------------------------------------
 
 
@@ -563,3 +608,39 @@ def custom_plan_source(spark, sf):
     registry = extensions.PlanSources()
     registry.register("hedge-list", detect, parse)
     return registry.chunks(b.markdown_files(spark, sf))
+
+
+# Declared references and loading patterns -------------------------------------
+
+ADAPTER = f"""concat('# Top', {NL}, '- `no.ts`', {NL}, '## Files to Load now', {NL}, '- `src/a', o_custkey, '.ts`', {NL}, '* `b.ts#u`', {NL}, 'text', {NL}, '## Next', {NL}, '- `late.ts`')"""
+
+
+@query(
+    "u6_all_declared",
+    """SELECT DISTINCT o_orderkey, ref FROM (SELECT o_orderkey, unnest(['src/a' || o_custkey || '.ts', 'b.ts', 'README.md', 'src/a' || o_orderkey % 10 || '.ts',
+              '../up.ts', 'src/x.ts', 'src/a1.ts', 'p' || o_orderkey || '.ts', 'prose']) AS ref FROM orders)""",
+)
+def all_declared(spark, sf):
+    prompts = _orders(spark, sf, f"concat('Load: p', o_orderkey, '.ts·L1, prose, +2 more', {NL}, 'Plan: (none)')")
+    return a.all_declared(prompts, _orders(spark, sf, ADAPTER), _orders(spark, sf, INDEX), ["o_orderkey"])
+
+
+@query(
+    "p28_developer_patterns",
+    sql(
+        r"""SELECT r.repo_id, coalesce(sum(t) FILTER (plan), 0) AS plan_only_tokens, count_if(plan) AS plan_only_files,
+                  coalesce(sum(t) FILTER (plan OR std), 0) AS standard_context_tokens, count_if(plan OR std) AS standard_context_files,
+                  coalesce(sum(t) FILTER (plan OR std OR scoped), 0) AS task_scoped_tokens, count_if(plan OR std OR scoped) AS task_scoped_files,
+                  sum(t) AS whole_project_tokens, count(*) AS whole_project_files
+           FROM (SELECT repo_id, CAST(ceil(event_id / 4) AS BIGINT) AS t, regexp_full_match(lower(path), '(docs/)?plan(_\d+)?\.md') AS plan,
+                   path IN ('README.md', '.npmrc') AS std, path LIKE '%conf/%' AND CAST(substr(repo_id, 6) AS INTEGER) % 2 = 0
+                     OR path LIKE 'lib/%' AS scoped
+                 FROM raw_paths WHERE NOT regexp_matches(path, '(^|/)(pnpm-lock\.yaml|Cargo\.lock)$')) r GROUP BY 1""",
+        "raw_paths",
+    ),
+)
+def developer_patterns(spark, sf):
+    files = b.raw_paths(spark, sf).withColumn("size_bytes", F.col("event_id"))
+    even = F.col("repo_id").substr(F.lit(6), F.lit(20)).cast("int") % 2 == 0
+    text = F.concat(F.lit("Touch packages/lib, then "), F.when(even, "packages/conf").otherwise("nothing"))
+    return budget.developer_patterns(files, b.raw_paths(spark, sf).select("repo_id", text.alias("text")))

@@ -379,3 +379,67 @@ def unit_refs(spark, sf):
 @query("p21_index_by_layer", sql("SELECT repo_id, path FROM code_files WHERE layer_default = 2", "code_files"))
 def index_by_layer(spark, sf):
     return code_files(spark, sf).where("layer_default = 2").select("repo_id", "path")
+
+
+def manifest(spark, sf):
+    from fleetledger.operators import prompts
+
+    resolved, focus = layers(spark, sf)
+    costed = units.layered_costs(resolved, rendered_layers(spark, sf))
+    listed = resolved.where("escalated_by IS NOT NULL").select("repo_id", "chunk_id", F.col("path").alias("ref"))
+    return prompts.manifest_entries(focus, costed, listed)
+
+
+RELATIONS["manifest_rows"] = (
+    ("layers", "focus"),
+    """SELECT repo_id, chunk_id, path || '#' || unit_id AS ref, 'unit' AS granularity, 'task' AS reason, false AS listed FROM focus
+       UNION ALL SELECT repo_id, chunk_id, path, CASE layer WHEN 0 THEN 'summary' WHEN 1 THEN 'signature' ELSE 'file' END,
+         CASE WHEN escalated_by IS NOT NULL THEN 'task' ELSE role END, escalated_by IS NOT NULL FROM layers""",
+)
+
+
+@query("j28_manifest_entries", sql("SELECT * FROM manifest_rows", "manifest_rows"))
+def manifest_entries(spark, sf):
+    return manifest(spark, sf).select("repo_id", "chunk_id", "ref", "granularity", "reason", "listed")
+
+
+@query(
+    "k5_manifest_json",
+    sql(
+        """SELECT repo_id, chunk_id, '{"granularity":"' || granularity || '","listed":' || listed || ',"reason":"' || reason || '","ref":"' || ref || '"}' AS entry
+           FROM manifest_rows""",
+        "manifest_rows",
+    ),
+)
+def manifest_json(spark, sf):
+    from fleetledger.operators import prompts
+
+    return prompts.manifest_json(manifest_entries(spark, sf))
+
+
+@query(
+    "j32_focus_grounding",
+    sql("""SELECT repo_id, path, base_id AS unit_id FROM units WHERE partkey % 6 = 1""", "units"),
+)
+def focus_grounding(spark, sf):
+    from fleetledger.functions.refs import focus_ref
+    from fleetledger.operators import evals
+
+    known = code_units(spark, sf)
+    shifted = F.col("end") + F.when(F.col("start") % 6 == 1, 1).otherwise(0)
+    text = F.concat("path", F.lit("#"), "unit_id", F.lit(":"), F.col("start").cast("string"), F.lit("-"), shifted.cast("string"))
+    refs = known.select("repo_id", focus_ref(text).alias("r")).select("repo_id", "r.*")
+    return evals.focus_grounding(refs, known).select("repo_id", "path", "unit_id")
+
+
+@query(
+    "sc32_ratio",
+    "SELECT l_orderkey, round(CASE WHEN count_if(l_linestatus = 'F') > 0 THEN sum(l_linenumber) / count_if(l_linestatus = 'F') END, 6) AS per_done FROM lineitem GROUP BY 1",
+)
+def null_safe_ratio(spark, sf):
+    from fleetledger.functions.text import ratio
+
+    summed = b.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_linenumber").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("done")
+    )
+    return summed.select("l_orderkey", F.round(ratio(F.col("n"), F.col("done")), 6).alias("per_done"))

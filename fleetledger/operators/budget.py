@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetledger.functions.paths import dirname, is_lockfile, leaves_root
+from fleetledger.functions.binding import unnest
+from fleetledger.functions.paths import basename, dirname, is_lockfile, is_plan_file, leaves_root
 from fleetledger.functions.text import ratio, token_estimate_from_size
 from fleetledger.operators.ordered import ordinal, running_total_before
 
@@ -183,3 +184,59 @@ def mean_savings(saved: DataFrame) -> DataFrame:
         F.count_if("applicable").alias("applicable_targets"),
         F.count("*").alias("targets"),
     )
+
+
+# Keyword in a task -> directories it implies.
+KEYWORD_DIRECTORIES = (
+    (r"middleware", ("middleware",)),
+    (r"\broutes?\b", ("routes",)),
+    (r"controllers?", ("controllers",)),
+    (r"\bmodels?\b", ("models",)),
+    (r"\butils?\b", ("utils",)),
+    (r"\btests?\b|unit test|integration test", ("tests", "__tests__")),
+    (r"\bconfig\b", ("config",)),
+    (r"\bshared\b", ("shared",)),
+    (r"\bauth\b|\bjwt\b", ("middleware", "auth")),
+    (r"\blogger\b|logging", ("logger",)),
+    (r"validat", ("validation", "validators")),
+)
+# Root files most sessions read.
+STANDARD_FILES = (
+    "readme.md",
+    "package.json",
+    "tsconfig.json",
+    "tsconfig.base.json",
+    "pnpm-workspace.yaml",
+    ".npmrc",
+    ".nvmrc",
+)
+
+
+def implied_directories(tasks: DataFrame) -> DataFrame:
+    """``repo_id, segment``: directories the open tasks of a repository imply."""
+    text = F.lower("text")
+    named = [F.when(text.rlike(p), F.array(*map(F.lit, d))) for p, d in KEYWORD_DIRECTORIES]
+    packages = F.regexp_extract_all(text, F.lit(r"packages/([\w-]+)"), 1)
+    implied = F.concat(F.flatten(F.array_compact(F.array(*named))), packages)
+    return unnest(tasks, ["repo_id"], implied, ["segment"]).distinct()
+
+
+def developer_patterns(files: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Tokens and files of four ways to load a project, each containing the one before it.
+
+    A repository's implied directories arrive as one array: they come from a fixed vocabulary and its
+    package names.
+    """
+    implied = implied_directories(tasks).groupBy("repo_id").agg(F.collect_set("segment").alias("segments"))
+    path = F.col("path")
+    plan = is_plan_file(path)
+    standard = plan | ((dirname(path) == ".") & F.lower(basename(path)).isin(*STANDARD_FILES))
+    parts = F.transform(F.split(path, r"[/\\]", -1), F.lower)
+    scoped = standard | F.coalesce(F.arrays_overlap(parts, F.col("segments")), F.lit(False))
+    tokens = token_estimate_from_size(F.col("size_bytes"))
+    sets = (("plan_only", plan), ("standard_context", standard), ("task_scoped", scoped), ("whole_project", F.lit(True)))
+    measured = []
+    for name, member in sets:
+        measured.append(F.coalesce(F.sum(F.when(member, tokens)), F.lit(0)).alias(f"{name}_tokens"))
+        measured.append(F.count_if(member).alias(f"{name}_files"))
+    return _relevant(files).join(implied, "repo_id", "left").groupBy("repo_id").agg(*measured)

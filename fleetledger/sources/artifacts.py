@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from fleetledger.functions.binding import let, unnest
 from fleetledger.functions.paths import leaves_root
+from fleetledger.functions.refs import declared_refs_loose, normalize_ref_loose
 from fleetledger.functions.text import lines_of, trim
 
 ENTRY_SCHEMA = T.ArrayType(
@@ -333,3 +334,31 @@ def diagnostics(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, F.concat(found, F.lit(": "), code).alias("diagnostic")).where(
         "diagnostic <> ': '"
     ).distinct()
+
+
+# Declared references of an evaluation run ------------------------------------
+
+
+def adapter_refs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Files an adapter document lists in backticks under its first "files to load" heading."""
+    block = F.regexp_extract("text", r"(?im)^[ \t]*#.*files to load.*\n((?:(?![ \t]*#).*(?:\n|\z))*)", 1)
+    listed = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*[-*]\s+`([^`]+)`[ \t]*$"), 1)
+    return unnest(texts, keys, F.transform(listed, normalize_ref_loose), ["ref"])
+
+
+def index_refs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """First cell of every table row of a file index, headers and rules left out."""
+    lines = unnest(texts, keys, lines_of(F.col("text")), ["n", "line"])
+    line = trim(F.col("line"))
+    first = trim(F.get(F.split(line, r"\|", -1), F.lit(1)))
+    cells = lines.where(line.startswith("|")).select(*keys, first.alias("cell"))
+    return cells.where(~F.col("cell").isin("", "File") & ~F.col("cell").rlike("^-+$")).select(
+        *keys, normalize_ref_loose(F.col("cell")).alias("ref")
+    )
+
+
+def all_declared(prompts: DataFrame, adapters: DataFrame, indexes: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct references a run's prompt, adapter document and file index declare between them."""
+    from_prompts = unnest(prompts, keys, declared_refs_loose(F.col("text")), ["ref"])
+    every = from_prompts.unionByName(adapter_refs(adapters, keys)).unionByName(index_refs(indexes, keys))
+    return every.where("ref IS NOT NULL").distinct()

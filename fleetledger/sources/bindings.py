@@ -94,7 +94,7 @@ def context_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias(
             "session_id"
         ),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         (F.col("user_id") % 9 + 1).cast("decimal(10,3)").alias("active_chunk"),
         F.when(F.col("event_type").isin("view", "click"), F.array(_src(_k()), _src((_k() * 3) % 40)))
         .otherwise(none)
