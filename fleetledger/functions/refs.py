@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fleetledger.functions.binding import let
 from fleetledger.functions.text import lines_of, trim
 
 # The line prefixes under which a prompt lists files, most specific first.
@@ -32,15 +33,15 @@ UNIT_REF = r"^(.+?)#(.+):(\d+)-(\d+)$"
 
 def normalize_ref(raw: Column) -> Column:
     """The bare path of one listed reference; null for summaries and prose."""
-    ref = trim(raw)
-    bare = F.when(F.instr(ref, " (") > 0, F.substring_index(ref, " (", 1)).otherwise(ref)
-    bare = F.regexp_replace(bare, "^@", "")
-    bare = F.regexp_replace(bare, "^`|`$", "")
-    bare = F.substring_index(trim(F.regexp_replace(bare, LAYER_SUFFIX, "")), "#", 1)
-    keep = (
-        (ref != "") & ~ref.startswith("+") & (ref != "(none)") & (bare.contains("/") | bare.contains("."))
-    )
-    return F.when(keep, bare)
+
+    def bare(ref: Column) -> Column:
+        path = F.regexp_replace(F.substring_index(ref, " (", 1), "^@", "")
+        path = trim(F.regexp_replace(F.regexp_replace(path, "^`|`$", ""), LAYER_SUFFIX, ""))
+        usable = (ref != "") & ~ref.startswith("+") & (ref != "(none)")
+        return F.when(usable, F.substring_index(path, "#", 1))
+
+    path = let(trim(raw), bare)
+    return let(path, lambda r: F.when(r.contains("/") | r.contains("."), r))
 
 
 def normalize_ref_loose(raw: Column) -> Column:
@@ -48,7 +49,7 @@ def normalize_ref_loose(raw: Column) -> Column:
     ref = F.substring_index(
         trim(F.regexp_replace(F.regexp_replace(trim(raw), LAYER_SUFFIX, ""), "^@", "")), "#", 1
     )
-    return F.when((ref != "") & ~ref.rlike(r"^\+\d+ more$"), ref)
+    return let(ref, lambda r: F.when((r != "") & ~r.rlike(r"^\+\d+ more$"), r))
 
 
 def _prefix_of(line: Column) -> Column:
@@ -58,31 +59,25 @@ def _prefix_of(line: Column) -> Column:
     return found
 
 
-def _listed(prompt: Column, normalize) -> Column:
-    loads = F.filter(F.transform(lines_of(prompt), trim), lambda l: _prefix_of(l).isNotNull())
-    parts = F.flatten(
-        F.transform(
-            loads,
-            lambda l: F.split(F.substring(l, F.length(_prefix_of(l)) + 1, F.length(l)), ",", -1),
-        )
+def _listed_parts(prompt: Column) -> Column:
+    """What follows the load prefix of each load line, split at commas; empty and ``(none)`` lists dropped."""
+    lines = F.transform(lines_of(prompt), trim)
+    prefixed = F.filter(
+        F.transform(lines, lambda l: F.struct(l.alias("line"), _prefix_of(l).alias("prefix"))),
+        lambda p: p["prefix"].isNotNull(),
     )
-    return F.filter(F.transform(parts, normalize), lambda r: r.isNotNull())
+    rests = F.transform(prefixed, lambda p: trim(F.substring(p["line"], F.length(p["prefix"]) + 1, F.length(p["line"]))))
+    return F.flatten(F.transform(F.filter(rests, lambda r: ~r.isin("", "(none)")), lambda r: F.split(r, ",", -1)))
 
 
 def declared_files(prompt: Column) -> Column:
     """Distinct paths a prompt tells the next session to load, in order of first appearance."""
-    return F.array_distinct(_listed(prompt, normalize_ref))
+    return F.array_distinct(F.array_compact(F.transform(_listed_parts(prompt), normalize_ref)))
 
 
 def declared_refs_loose(prompt: Column) -> Column:
     """Every listed reference under the evaluation's rules, repeats kept."""
-    loads = F.filter(F.transform(lines_of(prompt), trim), lambda l: _prefix_of(l).isNotNull())
-    rests = F.filter(
-        F.transform(loads, lambda l: trim(F.substring(l, F.length(_prefix_of(l)) + 1, F.length(l)))),
-        lambda r: (r != "") & (r != "(none)"),
-    )
-    parts = F.flatten(F.transform(rests, lambda r: F.split(r, ",", -1)))
-    return F.filter(F.transform(parts, normalize_ref_loose), lambda r: r.isNotNull())
+    return F.array_compact(F.transform(_listed_parts(prompt), normalize_ref_loose))
 
 
 def is_code_shaped(name: Column) -> Column:

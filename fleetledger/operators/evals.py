@@ -187,9 +187,8 @@ def _runs(words: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + n) for n in range(length)]))
 
 
-def _anchors(words: Column) -> Column:
-    """Distinct runs of one to :data:`ANCHOR_WORDS` words."""
-    lengths = range(1, ANCHOR_WORDS + 1)
+def _anchors(words: Column, lengths: range) -> Column:
+    """Distinct runs of consecutive words, of each of the given lengths."""
     return F.array_distinct(let(words, lambda w: F.concat(*[_runs(w, n) for n in lengths])))
 
 
@@ -207,19 +206,24 @@ def marker_lines(texts: DataFrame, markers: DataFrame, keys: list[str]) -> DataF
     """``keys, line, content, marker_id, marker``: every line that contains a marker.
 
     A line holding a marker holds the marker's inner words whole, so the two meet on one run of inner
-    words; markers too short for a run meet on their first characters. Every pair is then tested exactly.
+    words; markers without inner words meet on their first characters. Every pair is then tested exactly.
+    The finer-grained meetings are separate joins: when no marker needs one, its side is empty and
+    adaptive execution drops it before the lines are exploded.
     """
     lines = unnest(texts, keys, lines_of(F.col("text")), ["pos", "content"]).where("content <> ''")
     words = F.regexp_extract_all("marker", F.lit(f"({WORD})"), 1)
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     usable = markers.where((F.length("marker") > 0) & ~F.col("marker").contains("\n"))
     split = usable.withColumn("anchor", _marker_anchor(inner))
-    by_words = split.where("anchor IS NOT NULL")
+    anchor_words = F.size(F.split("anchor", " "))
+    by_long = split.where(anchor_words == ANCHOR_WORDS)
+    by_short = split.where(anchor_words < ANCHOR_WORDS)
     by_gram = split.where("anchor IS NULL").withColumn("gram_chars", F.least(F.length("marker"), F.lit(GRAM_CHARS)))
     row_keys = [*keys, "pos", "content"]
-    word_hits = unnest(
-        lines, row_keys, _anchors(F.regexp_extract_all("content", F.lit(f"({WORD})"), 1)), ["anchor"]
-    ).join(by_words, "anchor")
+    line_words = F.regexp_extract_all("content", F.lit(f"({WORD})"), 1)
+    long_runs = unnest(lines, row_keys, _anchors(line_words, range(ANCHOR_WORDS, ANCHOR_WORDS + 1)), ["anchor"])
+    short_runs = unnest(lines, row_keys, _anchors(line_words, range(1, ANCHOR_WORDS)), ["anchor"])
+    word_hits = long_runs.join(by_long, "anchor").unionByName(short_runs.join(by_short, "anchor"))
     grams = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.lit(GRAM_CHARS)),
