@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetledger.functions.binding import let, unnest
 from fleetledger.functions.text import lines_of, ratio
+from fleetledger.operators.ordered import running_total_before
 
 WORD = r"[A-Za-z0-9]+"
 # Words of a marker, its first and last aside, that make up its anchor.
@@ -89,15 +90,33 @@ def paired_arms(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 def paired_efficiency(pairs: DataFrame) -> DataFrame:
     """Mean, median, range and wins of the per-pair ratio bootstrap / control."""
     both = pairs.where(F.col("bootstrap").isNotNull() & F.col("control").isNotNull())
-    rated = both.withColumn("ratio", ratio(F.col("bootstrap"), F.col("control")))
-    return rated.agg(
+    rated = both.select(
+        F.lit(1).alias("all"),
+        ratio(F.col("bootstrap"), F.col("control")).alias("ratio"),
+        (F.col("bootstrap") <= F.col("control")).alias("won"),
+    )
+    summed = rated.groupBy("all").agg(
         F.count("*").alias("pairs"),
+        F.count("ratio").alias("rated"),
         F.avg("ratio").alias("mean_ratio"),
-        F.median("ratio").alias("median_ratio"),
         F.min("ratio").alias("min_ratio"),
         F.max("ratio").alias("max_ratio"),
-        F.count_if(F.col("bootstrap") <= F.col("control")).alias("wins"),
+        F.count_if("won").alias("wins"),
+    )
+    # The median is found by counting, so the ratios are never sorted in one task.
+    counts = rated.where("ratio IS NOT NULL").groupBy("all", "ratio").agg(F.count("*").alias("n"))
+    ranked = running_total_before(
+        counts, ["all"], [F.col("ratio")], F.col("n"), F.floor(F.col("ratio") * 100), "before"
+    ).join(summed.select("all", "rated"), "all")
+
+    def at(position: Column) -> Column:
+        covered = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+        return F.max(F.when(covered, F.col("ratio")))
+
+    middle = ranked.groupBy("all").agg(
+        ((at(F.floor((F.col("rated") - 1) / 2)) + at(F.floor(F.col("rated") / 2))) / 2).alias("median_ratio")
     )
+    return summed.join(middle, "all", "left").drop("all", "rated")
 
 
 def _per_task(runs: DataFrame) -> DataFrame:
@@ -170,13 +189,15 @@ def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.
     )
     per_draw = drawn.groupBy("draw").agg(ratio(F.sum(F.col("diff") * F.col("weight")), F.sum("weight")).alias("stat"))
     tail = (1 - level) / 2
-    bounds = per_draw.agg(
-        F.percentile("stat", tail).alias("lo"), F.percentile("stat", 1 - tail).alias("hi")
-    )
-    estimate = counts.agg(
-        F.avg(F.col("k_bootstrap") / F.col("n_bootstrap") - F.col("k_control") / F.col("n_control")).alias("estimate")
+    difference = F.col("k_bootstrap") / F.col("n_bootstrap") - F.col("k_control") / F.col("n_control")
+    estimate = counts.agg(F.avg(difference).alias("stat")).withColumn("drawn", F.lit(False))
+    drawn_stats = per_draw.select("stat", F.lit(True).alias("drawn"))
+    resampled = F.when(F.col("drawn"), F.col("stat"))
+    return drawn_stats.unionByName(estimate).agg(
+        F.max(F.when(~F.col("drawn"), F.col("stat"))).alias("estimate"),
+        F.percentile(resampled, tail).alias("lo"),
+        F.percentile(resampled, 1 - tail).alias("hi"),
     )
-    return estimate.withColumn("one", F.lit(1)).join(bounds.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def _runs(words: Column, length: int) -> Column:

@@ -11,9 +11,8 @@ from fleetledger.functions.text import lines_of, normalize_line
 
 BLOCK_LINES = 3
 MIN_BLOCK_CHARS = 30
-# Partitions a hot duplicate block's rows are spread over when they meet its summary.
-HOT_BLOCK_ROWS = 100_000
-SALTS = 32
+# Join keys the files of one block are spread over when they meet its summary.
+SALTS = 16
 # Hedging patterns in priority order, with the advice each one gets.
 SOFT_LANGUAGE = (
     (r"(?i)\bmaybe\b", 'Replace "maybe" with a definitive statement or remove'),
@@ -61,19 +60,11 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
         .agg(F.min("path").alias("first_path"), F.count("*").alias("files"))
         .where("files > 1")
     )
-    # A block in very many files would be one join key: its summary is replicated over salts instead.
-    hot = F.col("files") > HOT_BLOCK_ROWS
-    summaries = shared.withColumn("salts", F.when(hot, SALTS).otherwise(1)).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    )
-    spread = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
-    keyed = held.withColumn("spread", spread)
-    hot_ids = shared.where(hot).select("repo_id", "block_id", F.lit(True).alias("is_hot"))
-    salted = keyed.join(hot_ids, ["repo_id", "block_id"], "left").withColumn(
-        "salt", F.when(F.col("is_hot"), F.col("spread")).otherwise(0)
-    )
+    # A block may sit in very many files: its summary is replicated over salts, its files spread over them.
+    summaries = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = held.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
     return (
-        salted.join(summaries, ["repo_id", "block_id", "salt"])
+        spread.join(summaries, ["repo_id", "block_id", "salt"])
         .where(F.col("path") != F.col("first_path"))
         .select("repo_id", "block_id", "first_path", "path", "files", "preview")
     )

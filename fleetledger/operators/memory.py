@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetledger.operators.ordered import running_total_before
+
 DEFAULT_THRESHOLD = 3
 TOP_FILES = 5
 
@@ -117,13 +119,12 @@ def index_quantile(samples: DataFrame, keys: list[str], value: str, q: float) ->
     Works on value counts, so a key's samples are never gathered in one place.
     """
     counts = samples.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto))
+    ranked = running_total_before(counts, keys, [F.col(value)], F.col("n"), F.floor(value), "before")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     at = F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1)
     return (
         ranked.join(totals, keys)
-        .where(F.col("upto") > at)
+        .where(F.col("before") + F.col("n") > at)
         .groupBy(*keys)
         .agg(F.min(value).alias("quantile"))
     )

@@ -153,10 +153,9 @@ def test_duplicate_blocks_do_not_pair_a_file_with_itself(spark):
     assert rows(found) == [("r", "a", "b", 2)]
 
 
-def test_hot_blocks_take_the_salted_way(spark, monkeypatch):
+def test_a_block_in_many_files_is_reported_whole(spark):
     block = "first long shared line\nsecond long shared line\nthird long shared line\n"
     files = spark.createDataFrame([("r", f"f{i:02d}", block) for i in range(40)], "repo_id string, path string, text string")
-    monkeypatch.setattr(lint, "HOT_BLOCK_ROWS", 5)
     assert rows(lint.duplicate_blocks(files).select("path")) == [(f"f{i:02d}",) for i in range(1, 40)]
 
 
@@ -259,3 +258,10 @@ def test_order_stable_verdicts(spark):
         "pair_id string, dimension string, ordering int, first_arm string, second_arm string, winner string, margin string",
     )
     assert rows(evals.pairwise_verdicts(verdicts)) == [("p", "d", "A", True, "big"), ("p", "e", None, False, "none")]
+
+
+def test_median_and_quantile_by_counts(spark):
+    pairs = spark.createDataFrame([(float(i), 2.0) for i in (5, 1, 1, 9)], "bootstrap double, control double")
+    assert evals.paired_efficiency(pairs).first()["median_ratio"] == 1.5
+    odd = spark.createDataFrame([(float(i), 1.0) for i in (5, 1, 9)], "bootstrap double, control double")
+    assert evals.paired_efficiency(odd).first()["median_ratio"] == 5.0
