@@ -317,7 +317,7 @@ def manifest_drift(spark, sf):
 RELATIONS["manifest"] = (
     (),
     """SELECT l_orderkey AS manifest_id, 'src/p' || l_partkey || '.ts' AS path,
-              CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS entry_no,
+              CAST(l_linenumber AS BIGINT) * 1000000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS entry_no,
               CASE WHEN l_linenumber % 2 = 0 THEN 'unit' ELSE 'file' END AS granularity,
               CAST(l_quantity AS BIGINT) AS tokens, CAST(ceil(l_extendedprice / 100) AS BIGINT) AS file_tokens FROM lineitem""",
 )
@@ -327,7 +327,9 @@ def manifest_entries(spark, sf):
     return b.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("manifest_id"),
         F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("path"),
-        (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("entry_no"),
+        (
+            F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
+        ).alias("entry_no"),
         F.when(F.col("l_linenumber") % 2 == 0, "unit").otherwise("file").alias("granularity"),
         F.col("l_quantity").cast("long").alias("tokens"),
         F.ceil(F.col("l_extendedprice") / 100).cast("long").alias("file_tokens"),
