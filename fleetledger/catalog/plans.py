@@ -15,10 +15,8 @@ _POSITION = r"'(?i)^(?:(chunk|phase|step|milestone|part|stage|sprint)\s+)?(\d+(?
 _STATUS = r"""CASE WHEN regexp_matches(trimmed, '^[-*]\s+\[[xX]\]\s+.+$') THEN 'done'
   WHEN regexp_matches(trimmed, '^[-*]\s+\[-\]\s+.+$') THEN 'in-progress'
   WHEN regexp_matches(trimmed, '^[-*]\s+\[ \]\s+.+$') THEN 'todo' END"""
-RELATIONS["md_titles"] = (
-    ("md_heads",),
-    rf"""SELECT *, {trim("regexp_extract(trimmed, '^(#{1,6})\s+(.+)$', 2)")} AS title FROM md_heads WHERE depth > 0""".replace("{1,6}", "{1,6}"),
-)
+_TITLE = trim(r"regexp_extract(trimmed, '^(#{1,6})\s+(.+)$', 2)")
+RELATIONS["md_titles"] = (("md_heads",), f"SELECT *, {_TITLE} AS title FROM md_heads WHERE depth > 0")
 RELATIONS["census"] = (
     ("md_titles",),
     f"""SELECT repo_id, path, depth, count(*) AS headings,
