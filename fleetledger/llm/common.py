@@ -49,6 +49,19 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def text_hash() -> Column:
+    """With the id, what tells rows apart when a decision goes back to them."""
+    return F.xxhash64(text_or_empty(F.col("text"))).alias("text_hash")
+
+
+def decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with the columns of decisions (doc_id, text_hash, ..., a row per id and text) for the
+    rows that have one; null ids match."""
+    keyed = decisions.withColumnsRenamed({"doc_id": "__decided_id", "text_hash": "__decided_hash"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__decided_id")) & (text_hash() == F.col("__decided_hash"))
+    return docs.join(keyed, same).drop("__decided_id", "__decided_hash")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

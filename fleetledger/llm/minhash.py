@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetledger.llm.common import Workspace, text_slices
+from fleetledger.llm.common import Workspace, text_hash, text_slices
 from fleetledger.llm.components import components
 from fleetledger.llm.words import shingle_sets, words_of
 
@@ -65,22 +65,22 @@ def sketches(docs: DataFrame, shingle_words: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    batch.column("text_key"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "cls", "sketch"],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"],
             )
 
-    return docs.select("doc_id", "text", _text_key()).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, cls binary, sketch array<long>"
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, cls binary, sketch array<long>"
     )
 
 
 def _text_key():
     """Where a class's text is found: the id, or a hash of the text of a row without one."""
-    return F.coalesce("doc_id", F.xxhash64("text")).alias("text_key")
+    return F.coalesce("doc_id", text_hash()).alias("text_key")
 
 
 def _union_estimate(pairs: DataFrame, k: int, least: int) -> DataFrame:
@@ -149,7 +149,7 @@ def near_duplicates(
     least one). Other columns of docs play no part, whatever their names. Null and empty texts have an empty set and
     are linked with nothing. Rows with equal ids and texts are one another's copies, and all that bear the least id are
     kept. A row without id takes the component of its copies and isn't kept; with no id in the whole component,
-    component_id is null. An empty table gives an empty result.
+    component_id is null. An empty table gives an empty result. A further column, text_hash, is xxhash64 of the text.
     """
     base = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
@@ -160,11 +160,11 @@ def near_duplicates(
         .groupBy("cls")
         .agg(
             F.min("doc_id").alias("least_id"),
-            F.min("text_key").alias("any_key"),
+            F.min("text_hash").alias("any_hash"),
             F.first("n_shingles").alias("n"),
             F.first("sketch").alias("sketch"),
         )
-        .select("cls", "least_id", F.coalesce("least_id", "any_key").alias("text_key"), "n", "sketch"),
+        .select("cls", "least_id", F.coalesce("least_id", "any_hash").alias("text_key"), "n", "sketch"),
         "classes",
     )
     texts = base.select(_text_key(), "text")
@@ -203,14 +203,16 @@ def near_duplicates(
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = work.save(named.join(ids, "root").select(F.col("node").alias("cls"), "component_id"), "named")
     return (
-        rows.select("doc_id", "n_shingles", "cls")
+        rows.select("doc_id", "n_shingles", "cls", "text_hash")
         .join(named, "cls", "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "text_hash",
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
     )
 
 

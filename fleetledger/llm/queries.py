@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetledger.llm.common import Workspace, table
+from fleetledger.llm.fingerprint import fingerprints
+from fleetledger.llm.html import extract
+from fleetledger.llm.langid import identify
 from fleetledger.llm.minhash import near_duplicates
+from fleetledger.llm.mixing import mix_to_targets
+from fleetledger.llm.packing import pack
+from fleetledger.llm.pii import TRIAL_KEY, with_pseudonyms
+from fleetledger.llm.quality import judge
+from fleetledger.llm.sharding import reshard
+from fleetledger.llm.toxicity import classify
+
+def vocabulary() -> str:
+    """The vocabulary file that the packing queries read ids from."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,3 +34,64 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"op1_minhash_dedup": op1_minhash_dedup}
 ORACLES: dict[str, str] = {}
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+QUERIES["op4_language_id"] = op4_language_id
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
+QUERIES["op9_quality_rules"] = op9_quality_rules
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), Workspace(spark), vocabulary())
+
+
+QUERIES |= {"op3_mix_sources": op3_mix_sources, "op10_packing": op10_packing}
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+QUERIES["op5_resharding"] = op5_resharding
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+QUERIES["op8_fingerprints"] = op8_fingerprints
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_pseudonyms(docs, TRIAL_KEY)
+
+
+QUERIES["op6_pii_pseudonyms"] = op6_pii_pseudonyms
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_html_text"] = op7_html_text
