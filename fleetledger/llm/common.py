@@ -62,6 +62,12 @@ def decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return docs.join(keyed, same).drop("__decided_id", "__decided_hash")
 
 
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that have labels, joined on doc_id. The texts are shuffled once whatever the sizes: labels grow
+    with the corpus, so a plan that broadcasts them while they are few would tell nothing of one where they are many."""
+    return docs.join(labels.hint("shuffle_hash"), "doc_id")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -7,7 +7,7 @@ pages are those whose own markup names its article. Each is counted twice, once
 and once without (no zone), so that the weights serve pages with and without them.
 
 Elements that are never content (scripts, menus, forms, notices, adverts, comments, ...) are known by name, role, class
-or id; they score like any tag and their text is no part of a region, also where they stand inside it."""
+or id; such an element scores like one tag, and what is inside it is no part of a region, also where it stands in one."""
 
 from __future__ import annotations
 
@@ -140,7 +140,8 @@ def items(html: str) -> tuple[list[Item], bool]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
-            out.append((f"/{name}", "", 0, block, marked > 0))
+            if not never:
+                out.append((f"/{name}", "", 0, block, marked > 0))
             continue
         attributes = _attributes(m["attrs"]) if m["attrs"].strip(" /\n\t") else {}
         ends = _ENDS.get(name)
@@ -151,7 +152,8 @@ def items(html: str) -> tuple[list[Item], bool]:
             if depth is not None and not any(b in _BLOCK and b not in ends for b in between):
                 for _ in range(depth + 1):
                     pop()
-        out.append((name, "", 0, block, marked > 0))
+        if not never:
+            out.append((name, "", 0, block, marked > 0))
         if name in _RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = close.end() if close else size
@@ -211,24 +213,36 @@ def weights(pages: DataFrame, html_column: str = "html") -> dict[str, float]:
 def main_text(html: str, weight: dict[str, float]) -> str:
     """The blocks of the best region: white space as one space, trimmed, empty ones left out, joined by newlines."""
     found, zoned = items(html)
+    a, b = best_run(scores(found, zoned, weight))
+    blocks: dict[int, list[str]] = {}
+    for _, text, _, block, _ in found[a:b]:
+        if text:
+            blocks.setdefault(block, []).append(text)
+    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+    return "\n".join(line for line in lines if line)
+
+
+def scores(found: list[Item], zoned: bool, weight: dict[str, float]) -> list[float]:
+    """Of each item; white space between tags scores nothing."""
+    return [
+        n * weight.get(_feature(item, zoned), 0.5) if (n := item[2])
+        else 0.0 if item[1]
+        else weight.get(_feature(item, zoned), -0.5)
+        for item in found
+    ]
+
+
+def best_run(score: list[float]) -> tuple[int, int]:
+    """Start and end of the run of the greatest positive sum, (0, 0) if there is none."""
     best = total = 0.0
     start, region = 0, (0, 0)
-    for i, item in enumerate(found):
-        n = item[2]
-        if n:
-            total += n * weight.get(_feature(item, zoned), 0.5)
-        elif not item[1]:
-            total += weight.get(_feature(item, zoned), -0.5)
+    for i, value in enumerate(score):
+        total += value
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, region = total, (start, i + 1)
-    blocks: dict[int, list[str]] = {}
-    for _, text, _, block, _ in found[region[0] : region[1]]:
-        if text:
-            blocks.setdefault(block, []).append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(line for line in lines if line)
+    return region
 
 
 def extract(pages: DataFrame, html_column: str = "html", id_columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
