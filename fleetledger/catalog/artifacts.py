@@ -404,9 +404,14 @@ def benchmark_report(spark, sf):
 
 
 def scratch(spark, name):
-    """A fresh folder for one run's files, under the cluster's shared folder when it names one."""
+    """A fresh folder for one run's files, under the shared folder that the cluster names in spark.checkpoint.dir. Only a
+    local session, whose executors share one disk, may leave that out."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(shared or tempfile.gettempdir(), f"fleetledger-{name}-{uuid.uuid4().hex}")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/fleetledger-{name}-{uuid.uuid4().hex}"
 
 
 @query("k10_parquet_round_trip", sql("SELECT repo_id, path, size_bytes FROM files", "files"))
@@ -597,7 +602,13 @@ def external_token_counter(spark, sf):
     return counted.unionByName(estimated).select("path", "c.tokens", "c.accurate")
 
 
-@query("x2_custom_plan_source")
+@query(
+    "x2_custom_plan_source",
+    sql(
+        "SELECT repo_id, path, 'hedge-list' AS source, CAST(pos + 1 AS DOUBLE) AS chunk_id, raw AS title FROM md_lines WHERE starts_with(raw, 'maybe')",
+        "md_lines",
+    ),
+)
 def custom_plan_source(spark, sf):
     def detect(text):
         return 0.99 if "maybe" in text else 0.0

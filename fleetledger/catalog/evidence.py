@@ -155,8 +155,8 @@ def severity_tally(spark, sf):
     "s17_committed_by",
     sql(
         f"""SELECT DISTINCT c.repo_id, c.path FROM changes c JOIN hist h USING (repo_id, ordinal)
-            JOIN (SELECT repo_id, min(ordinal) AS base FROM boundaries GROUP BY 1) b ON b.repo_id = c.repo_id
-            WHERE c.ordinal > b.base AND h.k % 7 <> 0 AND h.k % 3 = 1""",
+            LEFT JOIN (SELECT repo_id, min(ordinal) AS base FROM boundaries GROUP BY 1) b ON b.repo_id = c.repo_id
+            WHERE c.ordinal > coalesce(b.base, -1) AND h.k % 7 <> 0 AND h.k % 3 = 1""",
         "changes",
         "boundaries",
     ),
@@ -170,8 +170,7 @@ def committed_by(spark, sf):
         (F.col("event_type") == "signup").alias("is_boundary"),
     )
     base = authored.where("is_boundary").groupBy("repo_id").agg(F.min("ordinal").alias("base_ordinal"))
-    with_base = authored.join(base.select("repo_id"), "repo_id", "left_semi")
-    return evidence.committed_by(with_base, b.changes(spark, sf), base, "dev1@example.ORG")
+    return evidence.committed_by(authored, b.changes(spark, sf), base, "dev1@example.ORG")
 
 
 # Drift ----------------------------------------------------------------------

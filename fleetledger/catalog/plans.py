@@ -425,8 +425,9 @@ def start_chunk(spark, sf):
     "a27_completed_range",
     """SELECT repo_id, n, first, last, last - first = n - 1 AS consecutive,
               CASE WHEN n = 1 THEN 'Chunk ' || first || ' done.' WHEN last - first = n - 1
-                   THEN 'Chunks ' || first || '-' || last || ' done.' END AS summary
-       FROM (SELECT 'cust-' || o_custkey AS repo_id, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last
+                   THEN 'Chunks ' || first || '-' || last || ' done.' ELSE 'Chunks ' || listed || ' done.' END AS summary
+       FROM (SELECT 'cust-' || o_custkey AS repo_id, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last,
+               string_agg(o_orderkey::VARCHAR, ', ' ORDER BY o_orderkey) AS listed
              FROM orders GROUP BY 1)""",
 )
 def completed_range(spark, sf):

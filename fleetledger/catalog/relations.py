@@ -116,7 +116,8 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
                    'b' || CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS blob
             FROM hist WHERE event_type IN ('purchase', 'error')""",
     ),
-    "touched": (
+    "touched": (("net_changed",), "SELECT * FROM net_changed WHERE path NOT LIKE 'docs/%'"),
+    "net_changed": (
         ("boundaries", "changes"),
         """SELECT b.repo_id, b.ordinal, p.path FROM boundaries b
            JOIN (SELECT DISTINCT repo_id, path FROM changes) p ON p.repo_id = b.repo_id
@@ -125,8 +126,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
              IS DISTINCT FROM
                  (SELECT arg_max(c.blob, c.ordinal) FROM changes c
                   WHERE c.repo_id = b.repo_id AND c.path = p.path
-                    AND (b.next_ordinal IS NULL OR c.ordinal <= b.next_ordinal))
-             AND p.path NOT LIKE 'docs/%'""",
+                    AND (b.next_ordinal IS NULL OR c.ordinal <= b.next_ordinal))""",
     ),
     "outcomes": (
         ("declared", "touched"),

@@ -18,7 +18,7 @@ RELATIONS["units"] = (
                CASE WHEN l_partkey % 4 = 0 THEN count(*) ELSE 0 END AS refs
              FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)""",
 )
-# Each line imports the unit of the line after it in the same order; even lines import the parent instead.
+# Each line imports the units of the lines with the next number in the same order; of parts divisible by three the parent.
 RELATIONS["ordered_lines"] = (
     (),
     """SELECT o_orderpriority AS repo_id, l_orderkey, 'src/s' || l_suppkey || '.ts' AS path, l_partkey AS partkey, l_linenumber
@@ -29,7 +29,7 @@ RELATIONS["import_targets"] = (
     """SELECT DISTINCT a.repo_id, a.path, c.path AS from_path,
               CASE WHEN c.partkey % 3 = 0 THEN 'Kit' || (c.partkey % 11) || '.Part' || c.partkey ELSE 'Part' || c.partkey END AS base_id
        FROM ordered_lines a JOIN ordered_lines c ON a.l_orderkey = c.l_orderkey AND c.l_linenumber = a.l_linenumber + 1
-       WHERE a.path <> c.path AND c.l_linenumber % 4 = 0""",
+       WHERE a.path <> c.path""",
 )
 RELATIONS["importers"] = (
     ("import_targets",),
@@ -86,11 +86,12 @@ def code_units(spark, sf):
 
 
 def _edges(spark, sf):
+    """Each line imports the units of the order's lines with the next number; numbers may repeat and may be missing."""
     lines = _lines(spark, sf).select("repo_id", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     following = lines.select(
         "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"),
         F.col("l_suppkey").alias("to_supp"), F.col("l_partkey").alias("to_part"),
-    ).where((F.col("l_linenumber") + 1) % 4 == 0)
+    )
     return lines.join(following, ["l_orderkey", "l_linenumber"])
 
 

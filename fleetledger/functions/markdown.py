@@ -189,17 +189,17 @@ def without_trailing_space(lines: Column) -> Column:
     return F.transform(lines, lambda l: trim_end(l["raw"]))
 
 
-# Fixed value: alternatives one word may expand to.
+# Fixed value: alternatives one word may expand to where a caller asks for a limit.
 MAX_EXPANSIONS = 64
 
 
-def expand_braces(word: Column) -> Column:
-    """``a.{ts,js}`` as both words; at most :data:`MAX_EXPANSIONS` of them, leftmost group first."""
+def expand_braces(word: Column, limit: int | None = None) -> Column:
+    """``a.{ts,js}`` as both words, leftmost group first; at most ``limit`` of them if one is given."""
     opens = F.length(word) - F.length(F.replace(word, F.lit("{"), F.lit("")))
 
     def one_round(acc: Column, _: Column) -> Column:
-        expanded = F.transform(acc, _expand_first_group)
-        return F.slice(F.flatten(expanded), 1, MAX_EXPANSIONS)
+        expanded = F.flatten(F.transform(acc, _expand_first_group))
+        return expanded if limit is None else F.slice(expanded, 1, limit)
 
     rounds = F.when(opens > 0, F.sequence(F.lit(1), opens)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(rounds, F.array(word), one_round)
@@ -216,7 +216,7 @@ def _expand_first_group(word: Column) -> Column:
     )
 
 
-def file_refs(lines: Column) -> Column:
+def file_refs(lines: Column, max_expansions: int | None = None) -> Column:
     """Distinct files the lines of a section name, tasks and globs left out."""
     from fleetledger.functions.paths import word_to_file_path
 
@@ -234,11 +234,11 @@ def file_refs(lines: Column) -> Column:
     candidates = F.filter(
         F.flatten(F.transform(kept, words)), lambda w: (w != "") & ~w.rlike("[*?]")
     )
-    paths = F.transform(F.flatten(F.transform(candidates, expand_braces)), word_to_file_path)
+    paths = F.transform(F.flatten(F.transform(candidates, lambda w: expand_braces(w, max_expansions))), word_to_file_path)
     return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
 
 
-# Cap of a brief and the line that says it was cut.
+# The length at which a brief is shown shortened, and the line that says so.
 MAX_BRIEF_CHARS = 6000
 SHORTENED = "_(shortened — the full section is in the original plan)_"
 
@@ -271,23 +271,25 @@ def without_empty_headings(lines: Column) -> Column:
     return let(codes, lambda bound: F.filter(lines, lambda line, i: has_content(bound, line, i)))
 
 
-def brief(lines: Column) -> Column:
-    """A section's text without its tasks and empty headings, capped at a line; null when nothing is left."""
+def brief(lines: Column, max_chars: int | None = None) -> Column:
+    """A section's text without its tasks and empty headings, whole or cut at a line; null when nothing is left."""
     kept = F.filter(lines, lambda l: l["in_fence"] | task_status(l["trimmed"]).isNull())
     joined = let(kept, lambda k: F.array_join(without_trailing_space(without_empty_headings(k)), "\n"))
     text = trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
     rule = rf"{_BLANK}(?:-{{3,}}|\*{{3,}}|_{{3,}}){_BLANK}"
     text = F.regexp_replace(text, rf"\A(?:{rule}(?:\n|\z))+", "")
-    return let(trim(F.regexp_replace(text, rf"(?:(?:\n|\A){rule})+\z", "")), _capped_brief)
+    return let(trim(F.regexp_replace(text, rf"(?:(?:\n|\A){rule})+\z", "")), lambda t: _capped_brief(t, max_chars))
 
 
-def _capped_brief(text: Column) -> Column:
-    room = MAX_BRIEF_CHARS - len(SHORTENED) - 2
+def _capped_brief(text: Column, max_chars: int | None) -> Column:
+    if max_chars is None:
+        return F.nullif(text, F.lit(""))
+    room = max_chars - len(SHORTENED) - 2
     head = F.substring(text, F.lit(1), F.lit(room + 1))
     cut = F.length(head) - F.instr(F.reverse(head), "\n")
     kept_chars = F.when(F.instr(head, "\n") > 1, cut).otherwise(room)
     capped = F.concat(trim_end(F.substring(text, F.lit(1), kept_chars)), F.lit("\n\n" + SHORTENED))
-    return F.when(text != "", F.when(F.length(text) <= MAX_BRIEF_CHARS, text).otherwise(capped))
+    return F.when(text != "", F.when(F.length(text) <= max_chars, text).otherwise(capped))
 
 
 def managed_block(text: Column, start: str, end: str) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetledger.functions.binding import let, unnest
@@ -167,7 +169,10 @@ def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.
     # Poisson(1) multiplicity of each task per draw: the large-sample form of drawing tasks with
     # replacement, and it needs no global position.
     u = uniform(F.col("draw"), F.col("task"))
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675]
+    steps, term = [exp(-1)], exp(-1)
+    while 1 - steps[-1] > 1 / 1_000_003:  # as far as the uniform numbers reach
+        term /= len(steps)
+        steps.append(steps[-1] + term)
     weight = F.lit(len(steps))
     for times in reversed(range(len(steps))):
         weight = F.when(u < steps[times], times).otherwise(weight)

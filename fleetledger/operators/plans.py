@@ -359,33 +359,32 @@ def start_at(chunks: DataFrame, starts: DataFrame) -> DataFrame:
 def completed_range(completed: DataFrame) -> DataFrame:
     """Text naming the finished chunks of each repository: ``a-b`` when they are consecutive, else listed.
 
-    Fractional ids are truncated first, so 2 and 2.5 both read as 2. ``completed`` is one row per chunk.
+    Fractional ids are truncated first, so 2 and 2.5 both read as 2. ``completed`` is one row per chunk; the list is as
+    long as one repository's plan.
     """
     keys = F.col("chunk_id").cast("long")
     summed = completed.groupBy("repo_id").agg(
         F.count("*").alias("n"),
         F.min(keys).alias("first"),
         F.max(keys).alias("last"),
+        _listed(keys).alias("listed"),
+    )
+    consecutive = F.col("last") - F.col("first") == F.col("n") - 1
+    text = (
+        F.when(F.col("n") == 1, F.concat(F.lit("Chunk "), F.col("first").cast("string")))
+        .when(consecutive, F.concat(F.lit("Chunks "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string")))
+        .otherwise(F.concat(F.lit("Chunks "), F.col("listed")))
     )
     return summed.select(
-        "repo_id",
-        "n",
-        "first",
-        "last",
-        (F.col("last") - F.col("first") == F.col("n") - 1).alias("consecutive"),
-        F.when(F.col("n") == 1, F.concat(F.lit("Chunk "), F.col("first").cast("string"), F.lit(" done.")))
-        .when(
-            F.col("last") - F.col("first") == F.col("n") - 1,
-            F.concat(
-                F.lit("Chunks "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit(" done.")
-            ),
-        )
-        .alias("summary"),
+        "repo_id", "n", "first", "last", consecutive.alias("consecutive"), F.concat(text, F.lit(" done.")).alias("summary")
     )
 
 
+def _listed(ids: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(ids)), lambda i: i.cast("string")), ", ")
+
+
 def completed_list(completed: DataFrame, keys: list[str]) -> DataFrame:
     """Listed form of :func:`completed_range`, for keys whose finished chunks fit one prompt line."""
-    ids = F.array_sort(F.collect_list(F.col("chunk_id").cast("long")))
-    text = F.array_join(F.transform(ids, lambda i: i.cast("string")), ", ")
+    text = _listed(F.col("chunk_id").cast("long"))
     return completed.groupBy(*keys).agg(F.concat(F.lit("Chunks "), text, F.lit(" done.")).alias("summary"))

@@ -1,7 +1,8 @@
 """Which files a plan's text names.
 
-A token names a file when their trailing segments agree. Candidates meet on (repository, basename), an
-equi-join; the tail comparison only runs on those.
+A token names a file when one of the two is a tail of the other, in whole segments. Both cases are equi-joins on a
+path written as text: files meet tokens on the files' tails, and tokens that are no file's tail meet whole paths on
+their own tails. Tails are counted before they are joined, so a basename that very many files share is one row.
 """
 
 from __future__ import annotations
@@ -13,46 +14,63 @@ from fleetledger.functions.paths import infer_purpose, is_path_shaped, path_toke
 from fleetledger.functions.text import token_estimate_from_size
 
 
-def shared_tail(token: Column, file: Column) -> Column:
-    """Number of trailing segments two paths share, 0 unless the shorter one agrees in full."""
-    n = F.least(F.size(token), F.size(file))
+def tails(parts: Column) -> Column:
+    """Every tail of a path's segments with its size, the whole path first."""
+    size = F.size(parts)
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
+        lambda i: F.struct(
+            F.array_join(F.slice(parts, i, size), "/").alias("tail"), (size - i + 1).alias("size")
+        ),
+    )
 
-    def tail(parts: Column) -> Column:
-        return F.slice(parts, F.size(parts) - n + 1, n)
 
-    return F.when(tail(token) == tail(file), n).otherwise(0)
+def _whole_paths(files: DataFrame) -> DataFrame:
+    """Each file with its segments joined by single slashes."""
+    parts = segments(F.col("path"))
+    return files.select("repo_id", "path", parts.alias("parts")).where(F.size("parts") > 0)
 
 
-def _keyed_files(files: DataFrame) -> DataFrame:
-    parts = segments(F.col("path"))
-    return files.select(
-        "repo_id", "path", parts.alias("file_parts"), F.element_at(parts, -1).alias("base")
-    ).where(F.size("file_parts") > 0)
+def _file_tails(files: DataFrame) -> DataFrame:
+    """A row per tail of each file, at most as many as the path is deep."""
+    return unnest(_whole_paths(files), ["repo_id", "path"], tails(F.col("parts")))
 
 
 def text_tokens(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """Distinct path tokens of each text, keyed by their last segment."""
-    tokens = unnest(texts, ["repo_id", *keep], path_tokens(F.col("text")), ["token"])
-    return tokens.distinct().withColumn("base", F.element_at("token", -1))
+    """Distinct path tokens of each text, as text."""
+    tokens = F.transform(path_tokens(F.col("text")), lambda t: F.array_join(t, "/"))
+    return unnest(texts, ["repo_id", *keep], tokens, ["token"]).distinct()
+
+
+def _own_tails(tokens: DataFrame) -> DataFrame:
+    """The proper tails of each token."""
+    return unnest(tokens, ["repo_id", "token"], tails(F.split("token", "/"))).where("tail <> token")
 
 
 def token_targets(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """``repo_id, token, path``: the one file each distinct token names; a tie names nothing.
 
-    Tokens are resolved once each, however many texts use them. Only the best score and how many files
-    reach it are kept per token, so the candidates of a common basename are never gathered.
+    A token that is a tail of files agrees with these in full, and no file can agree with more of it: one such file is
+    named, several are a tie. A token that is no file's tail names the file whose whole path is its longest tail.
     """
-    distinct = tokens.select("repo_id", "base", "token").distinct()
-    scored = distinct.join(_keyed_files(files), ["repo_id", "base"]).withColumn(
-        "score", shared_tail(F.col("token"), F.col("file_parts"))
+    distinct = tokens.select("repo_id", "token").distinct()
+    counted = _file_tails(files).groupBy("repo_id", F.col("tail").alias("token")).agg(
+        F.count("*").alias("n"), F.min("path").alias("path")
+    )
+    met = distinct.join(counted, ["repo_id", "token"], "left")
+    within = met.where("n = 1").select("repo_id", "token", "path")
+    whole = _whole_paths(files).groupBy("repo_id", F.array_join("parts", "/").alias("tail")).agg(
+        F.count("*").alias("n"), F.min("path").alias("path")
     )
-    per_score = (
-        scored.where("score > 0")
-        .groupBy("repo_id", "token", "score")
-        .agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    around = (
+        _own_tails(met.where("n IS NULL").select("repo_id", "token"))
+        .join(whole, ["repo_id", "tail"])
+        .groupBy("repo_id", "token")
+        .agg(F.max_by(F.struct("n", "path"), "size").alias("best"))
+        .where("best.n = 1")
+        .select("repo_id", "token", F.col("best.path").alias("path"))
     )
-    best = per_score.groupBy("repo_id", "token").agg(F.max_by(F.struct("n", "path"), "score").alias("best"))
-    return best.where("best.n = 1").select("repo_id", "token", F.col("best.path").alias("path"))
+    return within.unionByName(around)
 
 
 def open_texts(chunks: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -81,14 +99,18 @@ def referenced_files(texts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
-    """Files each text mentions, without asking that the mention be unique."""
+    """Files each text mentions, without asking that the mention be unique.
+
+    The result has a row for each text and file, so a text that says ``index.ts`` has as many as there are such files:
+    that expansion is what is asked for. Nothing beyond it is made on the way.
+    """
     tokens = text_tokens(texts, keep)
-    return (
-        tokens.join(_keyed_files(files), ["repo_id", "base"])
-        .where(shared_tail(F.col("token"), F.col("file_parts")) > 0)
-        .select("repo_id", *keep, "path")
-        .distinct()
-    )
+    distinct = tokens.select("repo_id", "token").distinct()
+    within = distinct.join(_file_tails(files).select("repo_id", F.col("tail").alias("token"), "path"), ["repo_id", "token"])
+    whole = _whole_paths(files).select("repo_id", "path", F.array_join("parts", "/").alias("tail"))
+    around = _own_tails(distinct).join(whole, ["repo_id", "tail"]).select("repo_id", "token", "path")
+    targets = within.unionByName(around).distinct()
+    return tokens.join(targets, ["repo_id", "token"]).select("repo_id", *keep, "path").distinct()
 
 
 def plan_tags(references: DataFrame, files: DataFrame, always_include: DataFrame) -> DataFrame:
@@ -108,21 +130,11 @@ def plan_tags(references: DataFrame, files: DataFrame, always_include: DataFrame
 
 def absent_paths(planned: DataFrame, known: DataFrame, inventory: DataFrame) -> DataFrame:
     """Planned paths that are new: in a directory, path-shaped, no tail of a known file, not on disk."""
-    wanted = planned.where(F.col("path").contains("/") & is_path_shaped(F.col("path"))).withColumn(
-        "base", F.regexp_extract("path", r"([^/]*)$", 1)
-    )
-    keyed = known.select(
-        "repo_id", F.col("path").alias("known_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("base")
-    )
-    named = (
-        wanted.select("repo_id", "base", "path").distinct()
-        .join(keyed, ["repo_id", "base"])
-        .where(F.endswith(F.concat(F.lit("/"), "known_path"), F.concat(F.lit("/"), "path")))
-        .select("repo_id", "path")
-        .distinct()
-    )
+    wanted = planned.where(F.col("path").contains("/") & is_path_shaped(F.col("path")))
+    known_tails = unnest(known.select("repo_id", "path"), ["repo_id"], tails(F.split("path", "/")))
+    named = known_tails.select("repo_id", F.col("tail").alias("path")).distinct()
     fresh = wanted.join(named, ["repo_id", "path"], "left_anti")
-    return fresh.join(inventory.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").drop("base")
+    return fresh.join(inventory.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
 
 
 def neighbours(absent: DataFrame, indexed: DataFrame, taken: DataFrame, per_path: int = 3, per_chunk: int = 8) -> DataFrame:

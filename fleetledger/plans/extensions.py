@@ -17,16 +17,22 @@ MIN_CONFIDENCE = 0.3
 def token_counter(count: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
     """Wrap a batch token counter as ``struct<tokens, accurate>``.
 
-    A batch on which the counter fails falls back to the byte estimate and is marked inaccurate.
+    Where the counter fails on a batch, its texts are counted one by one, and those on which it fails alone fall back to
+    the byte estimate and are marked inaccurate: the result doesn't depend on how rows were batched.
     """
 
+    def one(text: str) -> tuple[int, bool]:
+        try:
+            return int(count(pd.Series([text])).iloc[0]), True
+        except Exception:
+            return -(-len(text.encode("utf-8")) // 4), False
+
     @F.pandas_udf("tokens long, accurate boolean")
     def counted(texts: pd.Series) -> pd.DataFrame:
         try:
             return pd.DataFrame({"tokens": count(texts).astype("int64"), "accurate": True})
         except Exception:
-            size = texts.str.encode("utf-8").str.len()
-            return pd.DataFrame({"tokens": -(-size // 4), "accurate": False})
+            return pd.DataFrame([one(t or "") for t in texts], columns=["tokens", "accurate"])
 
     return counted
 

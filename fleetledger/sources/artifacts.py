@@ -297,7 +297,7 @@ def status_records(exports: DataFrame, keys: list[str]) -> DataFrame:
 
 def dirty_paths(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Paths of short status lines; of ``old -> new`` the new one."""
-    path = trim(F.substring("line", 4, 1_000_000))
+    path = trim(F.substring("line", F.lit(4), F.length("line")))
     return lines.where(F.length("line") > 3).select(
         *keys, F.when(path.contains(" -> "), F.regexp_extract(path, " -> (.*)$", 1)).otherwise(path).alias("path")
     ).where("path <> ''")

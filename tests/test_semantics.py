@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetledger.functions import code, markdown as md, paths as p, refs, secrets as sc
 from fleetledger.operators import budget, drift, evals, lint, plans, prompts, references, replay
+from fleetledger.plans import extensions
 from fleetledger.sources import artifacts
 
 
@@ -100,14 +101,17 @@ def test_plan_without_headings_is_a_task_list(spark):
 
 def test_long_brief_is_cut_at_a_line(spark):
     body = "\n".join("line %04d" % i for i in range(900))
-    text = plans.heading_chunks(plan(spark, "## 1 A\n---\n" + body)).first()["brief"]
+    whole = plans.heading_chunks(plan(spark, "## 1 A\n---\n" + body)).first()["brief"]
+    assert whole == body
+    text = one(spark, md._capped_brief(F.col("t"), md.MAX_BRIEF_CHARS), t=body)
     assert len(text) <= md.MAX_BRIEF_CHARS and text.endswith(md.SHORTENED) and text.startswith("line 0000")
 
 
 def test_brace_expansion(spark):
     words = one(spark, md.expand_braces(F.col("t")), t="s/{a,b}.{ts,js}")
     assert words == ["s/a.ts", "s/a.js", "s/b.ts", "s/b.js"]
-    assert len(one(spark, md.expand_braces(F.col("t")), t="{0,1}" * 8)) == md.MAX_EXPANSIONS
+    assert len(one(spark, md.expand_braces(F.col("t")), t="{0,1}" * 8)) == 256
+    assert len(one(spark, md.expand_braces(F.col("t"), md.MAX_EXPANSIONS), t="{0,1}" * 8)) == md.MAX_EXPANSIONS
 
 
 def test_tied_reference_names_nothing(spark):
@@ -265,3 +269,25 @@ def test_median_and_quantile_by_counts(spark):
     assert evals.paired_efficiency(pairs).first()["median_ratio"] == 1.5
     odd = spark.createDataFrame([(float(i), 1.0) for i in (5, 1, 9)], "bootstrap double, control double")
     assert evals.paired_efficiency(odd).first()["median_ratio"] == 5.0
+
+
+def test_a_common_basename_is_joined_by_tails(spark):
+    rows = [("r", f"d{i}/index.ts") for i in range(10_000)] + [("r", "d7/x/index.ts"), ("r", "top.ts")]
+    files = spark.createDataFrame(rows, "repo_id string, path string")
+    texts = spark.createDataFrame(
+        [("r", 1, "see index.ts"), ("r", 2, "see d77/index.ts"), ("r", 3, "see x/index.ts"), ("r", 4, "see lib/top.ts")],
+        "repo_id string, chunk_id int, text string",
+    )
+    found = references.referenced_files(texts, files)
+    assert sorted((r.chunk_id, r.path) for r in found.collect()) == [(2, "d77/index.ts"), (3, "d7/x/index.ts"), (4, "top.ts")]
+
+
+def test_counter_failing_on_one_text_leaves_the_others(spark):
+    def count(texts):
+        if texts.str.contains("bad").any():
+            raise ValueError("no")
+        return texts.str.len()
+
+    rows = spark.createDataFrame([("ok",), ("bad",), ("fine",)], "t string").coalesce(1)
+    got = rows.select("t", extensions.token_counter(count)(F.col("t")).alias("c")).collect()
+    assert {r.t: (r.c.tokens, r.c.accurate) for r in got} == {"ok": (2, True), "bad": (1, False), "fine": (4, True)}
