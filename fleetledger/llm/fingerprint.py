@@ -86,23 +86,32 @@ def _edited(text: Column, other: Column) -> Column:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """rows: text, sketch and after (text and sketch of the next row, null if that isn't in the window)."""
-    after = F.col("after")
-    edited = F.when(after.isNotNull(), _edited(F.col("text"), after["text"]))
+    """rows: sketch, edited_sketch, next_sketch. Adds the likenesses."""
     return rows.withColumns(
         {
-            "edited_sha256": F.sha2(edited.cast("binary"), 256),
-            "edited_sketch": F.when(after.isNotNull(), sketch(edited)),
-            "next_sketch": after["sketch"],
+            "near_edited": likeness(F.col("sketch"), F.col("edited_sketch")),
+            "near_next": likeness(F.col("sketch"), F.col("next_sketch")),
+            "of_edited": containment(F.col("sketch"), F.col("edited_sketch")),
         }
     )
 
 
+def _with_edited(rows: DataFrame) -> DataFrame:
+    """rows: text, after_text. Adds the hash and sketch of the edited text."""
+    edited = _edited(F.col("text"), F.col("after_text"))
+    known = F.col("after_text").isNotNull()
+    return rows.withColumns(
+        {"edited_sha256": F.sha2(edited.cast("binary"), 256), "edited_sketch": F.when(known, sketch(edited))}
+    )
+
+
 def _heads(placed: DataFrame) -> DataFrame:
     """(grp, spare, after): for each group the first row of the next group that has rows, and of the first group for the
     last. Group numbers are ordered in two levels: a window for every GROUP of them, and one over the topmost, which are
     one for GROUP * GROUP ids."""
-    firsts = placed.where("place = 1").select("grp", "spare", F.struct("text", "sketch").alias("after"))
+    firsts = placed.where("place = 1").select(
+        "grp", "spare", F.struct(F.col("text").alias("after_text"), F.col("sketch").alias("next_sketch")).alias("after")
+    )
     groups = firsts.select("grp", "spare", F.floor(F.col("grp") / GROUP).alias("top"))
     inside = Window.partitionBy("top").orderBy("grp", "spare")
     groups = groups.withColumn("next_group", F.lead(F.struct("grp", "spare")).over(inside))
@@ -128,29 +137,29 @@ def fingerprints(docs: DataFrame, work: Workspace) -> DataFrame:
     to the first of the next. Rows without id are spread over GROUP groups.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    base = base.select(
-        "doc_id",
-        "text",
-        sketch(F.col("text")).alias("sketch"),
-        F.xxhash64("text").alias("tie"),
-        F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-(1 << 56))).alias("grp"),
+    tie = F.xxhash64("text")
+    base = base.withColumns(
+        {
+            "tie": tie,
+            "grp": F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-(1 << 56))),
+            "spare": F.when(F.col("doc_id").isNull(), F.shiftright(tie, 56)).otherwise(0).cast("int"),
+        }
     )
-    spare = F.when(F.col("doc_id").isNull(), F.shiftright("tie", 56)).otherwise(0).cast("int")
     inside = Window.partitionBy("grp", "spare").orderBy("doc_id", "tie")
-    placed = base.withColumn("spare", spare).withColumns(
-        {"after": F.lead(F.struct("text", "sketch")).over(inside), "place": F.row_number().over(inside)}
-    )
-    # a text is kept only where the next group, or the one before, has yet to meet it
-    edge = F.col("after").isNull() | (F.col("place") == 1)
-    placed = work.save(
-        _compared(placed).select(
-            "doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", "edited_sha256", "edited_sketch",
-            "next_sketch", F.when(edge, F.col("text")).alias("text"), "grp", "spare", "place",
-        ),
-        "placed",
+    placed = base.withColumns({"after_text": F.lead("text").over(inside), "place": F.row_number().over(inside)})
+    # sketches are made behind the shuffle, and the next one's taken by a second window over the same order
+    placed = _with_edited(placed).withColumn("sketch", sketch(F.col("text")))
+    edge = F.col("after_text").isNull() | (F.col("place") == 1)
+    placed = placed.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", "edited_sha256", "edited_sketch", "tie",
+        # a text is kept only where the next group, or the one before, has yet to meet it
+        F.when(edge, F.col("text")).alias("text"), "grp", "spare", "place",
     )
-    ends = placed.where("edited_sha256 IS NULL").join(_heads(placed), ["grp", "spare"])
-    ends = _compared(ends).select(placed.columns)
+    placed = _compared(placed.withColumn("next_sketch", F.lead("sketch").over(inside))).drop("next_sketch", "tie")
+    placed = work.save(placed, "placed")
+    ends = placed.where("edited_sha256 IS NULL").drop("edited_sha256", "edited_sketch")
+    ends = ends.join(_heads(placed), ["grp", "spare"]).select("*", "after.*")
+    ends = _compared(_with_edited(ends)).select(placed.columns)
     rows = placed.where("edited_sha256 IS NOT NULL").union(ends)
     return rows.select(
         "doc_id",
@@ -158,7 +167,7 @@ def fingerprints(docs: DataFrame, work: Workspace) -> DataFrame:
         "edited_sha256",
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("of_edited"),
+        "near_edited",
+        "near_next",
+        "of_edited",
     )
