@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetledger.llm.common import Workspace, text_hash, text_slices
-from fleetledger.llm.kneser import SLICE
+from fleetledger.llm.common import Workspace, text_hash, text_slices, with_labels
 from fleetledger.llm.words import Words, mix, words_of
 
 BUCKETS = 1 << 16
@@ -55,7 +54,7 @@ def domain_counts(docs: DataFrame, domains: list[str]) -> np.ndarray:
     code = {d: i for i, d in enumerate(domains)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=SLICE):
+        for batch in text_slices(batches):
             words = words_of(batch.column("text"))
             own = np.array([code[d] for d in batch.column("domain").to_pylist()], np.int64)[words.doc]
             both = np.concatenate([own * BUCKETS + f for f in features(words)])
@@ -70,7 +69,7 @@ def domain_counts(docs: DataFrame, domains: list[str]) -> np.ndarray:
 
 
 def likelihoods(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """docs: doc_id, text_hash, domain, text. Replaces text by tokens (words) and likely: per domain the mean log-probability of
+    """docs: doc_id, text_hash, text. Replaces text by tokens (words) and likely: per domain the mean log-probability of
     the text's buckets, above that under all domains together."""
     table = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
     pooled = counts.sum(axis=0)
@@ -79,7 +78,7 @@ def likelihoods(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in text_slices(batches, limit=SLICE):
+        for batch in text_slices(batches):
             words = words_of(batch.column("text"))
             n = batch.num_rows
             tokens = np.bincount(words.doc, minlength=n)
@@ -89,13 +88,13 @@ def likelihoods(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_hash"), batch.column("domain"), pa.array(tokens, pa.int64()),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(tokens, pa.int64()),
                     pa.array(likely.tolist(), pa.list_(pa.float64())),
                 ],
-                names=["doc_id", "text_hash", "domain", "tokens", "likely"],
+                names=["doc_id", "text_hash", "tokens", "likely"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, domain string, tokens long, likely array<double>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, tokens long, likely array<double>")
 
 
 def softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -170,9 +169,9 @@ def mix_to_targets(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     label = label.select("doc_id", domain_of_label().alias("domain"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash()).join(label, "doc_id", "left")
-    learn = base.where(F.col("domain").isin(*targets)).select("text", "domain")
-    seen = {r["domain"] for r in learn.select("domain").distinct().collect()}
+    label = label.where(F.col("domain").isin(*targets))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash())
+    seen = {r["domain"] for r in base.select("doc_id").join(label, "doc_id").select("domain").distinct().collect()}
     domains = [d for d in targets if d in seen]
     k = len(domains)
     if k < 2:
@@ -180,8 +179,8 @@ def mix_to_targets(
             "doc_id", "text_hash", "tokens", F.array(F.lit(1.0)).alias("posterior")
         )
         return plain.withColumns({"rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
-    rows = work.save(likelihoods(base, domain_counts(learn, domains)), "likelihoods")
-    known = rows.where(F.col("domain").isin(*domains) & (F.col("tokens") > 0))
+    rows = work.save(likelihoods(base, domain_counts(with_labels(base, label).select("text", "domain"), domains)), "likelihoods")
+    known = rows.where(F.col("tokens") > 0).join(label, "doc_id")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").select("likely", "domain").limit(CALIBRATION_ROWS).toArrow()
     x = np.array(sample.column("likely").to_pylist(), np.float64).reshape(-1, k)
     y = np.array([domains.index(d) for d in sample.column("domain").to_pylist()], np.int64)
