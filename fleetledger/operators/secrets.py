@@ -11,7 +11,8 @@ from fleetledger.operators.lint import file_lines
 
 def secret_findings(files: DataFrame, patterns=sc.PATTERNS) -> DataFrame:
     """``repo_id, path, line, pattern, redacted``: every secret of every line."""
-    suspicious = file_lines(files).where(sc.any_secret(F.col("content"), patterns))
+    whole = files.where(sc.any_secret(F.col("text"), patterns))
+    suspicious = file_lines(whole).where(sc.any_secret(F.col("content"), patterns))
     found = unnest(suspicious, ["repo_id", "path", "line"], sc.findings(F.col("content"), patterns))
     return found.select("repo_id", "path", "line", "pattern", sc.mask(F.col("secret")).alias("redacted"))
 
