@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker handles at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2_000_000
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Tables for the usual slice of a batch are kept; a longer text has its own.
+_LEAST_BITS = 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -24,9 +26,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse; the size is rounded up so that few tables are made."""
-    size = 1 << max(22, (n - 1).bit_length())
+    size = 1 << max(_LEAST_BITS, (n - 1).bit_length())
     if size not in _powers:
-        if size > 1 << 22:
+        if size > 1 << _LEAST_BITS:
             _powers.clear()
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1

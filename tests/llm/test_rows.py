@@ -84,6 +84,7 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     for _, of in got.groupby("shard"):
         assert sorted(of.slot) == list(range(len(of)))
     before = got.groupby("old_shard")["size"].sum()
+    assert (got[got["size"] < 1000].groupby("text_crc32").shard.nunique() == 1).all()
     least = (before - before.sum() / 24).clip(lower=0).sum()
     assert got[got.shard != got.old_shard]["size"].sum() <= 1.01 * least
     text = {r.doc_id: r.text for r in docs.collect()}
