@@ -543,7 +543,7 @@ def _log_feed(spark, sf):
 @query("t1_deduplicated_append", sql("SELECT DISTINCT repo_id, session_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM context_log", "context_log"))
 def deduplicated_append(spark, sf):
     out = scratch(spark, "log")
-    jobs.append_log(_log_feed(spark, sf), out, scratch(spark, "checkpoint"), "3650 days").awaitTermination()
+    jobs.append_log(_log_feed(spark, sf), out, scratch(spark, "checkpoint"), "400 days").awaitTermination()
     return spark.read.parquet(out).select("repo_id", "session_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
@@ -554,7 +554,8 @@ def deduplicated_append(spark, sf):
 def running_counts(spark, sf):
     out = scratch(spark, "counts")
     jobs.maintain_counts(_log_feed(spark, sf), out, scratch(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out).withColumn("last_modified", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss"))
+    counts = jobs.current_counts(spark, out)
+    return counts.withColumn("last_modified", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("t3_retained_log", sql("SELECT repo_id, event_id FROM context_log WHERE ts >= TIMESTAMP '2024-01-10'", "context_log"))

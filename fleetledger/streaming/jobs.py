@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetledger.operators.secrets import guard_verdicts
@@ -33,15 +33,22 @@ def load_counts(stream: DataFrame) -> DataFrame:
 
 
 def maintain_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``path`` equal to the counts so far: every batch rewrites the table whole."""
+    """Publish the counts that each batch changes, under the batch's id: a batch run again after a failure replaces itself,
+    and the work of a batch follows what arrived in it. :func:`current_counts` reads the counts so far."""
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = load_counts(stream).writeStream.outputMode("complete").foreachBatch(publish)
+    writer = load_counts(stream).writeStream.outputMode("update").foreachBatch(publish)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_id, path, loads, last_modified`` as of the last batch that changed each file's counts."""
+    latest = F.max_by(F.struct("loads", "last_modified"), "batch").alias("latest")
+    return spark.read.parquet(path).groupBy("repo_id", "path").agg(latest).select("repo_id", "path", "latest.*")
+
+
 def retained(stream: DataFrame, cutoff: str) -> DataFrame:
     """Entries no older than a retention cutoff."""
     return stream.where(F.col("ts") >= F.to_timestamp(F.lit(cutoff)))

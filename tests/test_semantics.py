@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fleetledger.functions import code, markdown as md, paths as p, refs, secret
 from fleetledger.operators import budget, drift, evals, lint, plans, prompts, references, replay, secrets as secret_scans
 from fleetledger.plans import extensions
 from fleetledger.sources import artifacts
+from fleetledger.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -316,3 +318,14 @@ def test_scans_by_line_and_by_text_agree(spark):
     assert verdicts["none"] == (0, True) and set(secrets_of) <= set(lines)
     named = {(r.path, r.pattern) for r in secret_scans.secret_findings(files).collect()}
     assert {(n, n) for n in secrets_of} <= named
+
+
+def test_running_counts_take_a_second_batch(spark, tmp_path):
+    schema = "repo_id string, session_id string, ts timestamp, files_loaded array<string>, modifications array<string>"
+    feed, out, mark = (f"file://{tmp_path}/{name}" for name in ("feed", "out", "mark"))
+    for loaded, day in ((["a", "b"], 1), (["a"], 2)):
+        row = [("r", "s", datetime(2024, 1, day), loaded, ["b"])]
+        spark.createDataFrame(row, schema).write.mode("append").parquet(feed)
+        jobs.maintain_counts(spark.readStream.schema(schema).parquet(feed), out, mark).awaitTermination()
+    got = {r.path: (r.loads, r.last_modified) for r in jobs.current_counts(spark, out).collect()}
+    assert got == {"a": (2, None), "b": (1, datetime(2024, 1, 2))}
