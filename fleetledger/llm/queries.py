@@ -29,11 +29,32 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
+    found = near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Query] = {"op1_minhash_dedup": op1_minhash_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+        WITH RECURSIVE texts AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        links AS (
+          SELECT x.doc_id AS u, y.doc_id AS v FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+          JOIN sizes a ON a.doc_id = x.doc_id JOIN sizes b ON b.doc_id = y.doc_id
+          GROUP BY x.doc_id, y.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reached AS (
+          SELECT doc_id AS node, doc_id AS root FROM documents
+          UNION SELECT l.v, r.root FROM reached r JOIN (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l ON l.u = r.node)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+        FROM documents d LEFT JOIN sizes s USING (doc_id)
+        JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reached GROUP BY 1) r USING (doc_id)
+    """
+}
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
