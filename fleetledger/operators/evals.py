@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from math import exp
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetledger.functions.binding import let, unnest
 from fleetledger.functions.text import lines_of, ratio
-from fleetledger.operators.ordered import running_total_before
+from fleetledger.operators.ordered import ordinal, running_total_before
 
 WORD = r"[A-Za-z0-9]+"
 # Words of a marker, its first and last aside, that make up its anchor.
@@ -153,46 +151,38 @@ def variance_split(runs: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Interval of the pass-rate difference from a seeded two-level resample: tasks, then repeats in each arm.
+    """Interval of the pass-rate difference from a seeded two-level resample: tasks with replacement, then repeats within
+    each task and arm.
 
-    A task's resampled pass rate needs only its run and pass counts, so runs are reduced to one row per
-    task before the draws; each draw picks tasks by hashed position and sums a constant amount per task.
+    Runs are reduced to run and pass counts per task first. Tasks are numbered in the order of their hashes; a draw fills
+    as many slots as there are tasks, each with the task whose number a hash of (seed, draw, slot) names, and a repeat
+    counts as passed if the hash of (seed, draw, slot, arm, repeat) falls on one of the task's passes. Tasks without
+    runs in both arms are left out.
     """
     counts = runs.groupBy("task").agg(
         *[F.count_if(F.col("arm") == arm).alias(f"n_{arm}") for arm in ("bootstrap", "control")],
         *[F.count_if((F.col("arm") == arm) & F.col("passed")).alias(f"k_{arm}") for arm in ("bootstrap", "control")],
     ).where("n_bootstrap > 0 AND n_control > 0")
+    hashed = counts.withColumn("hash", F.md5(F.col("task").cast("string"))).withColumn("all", F.lit(1))
+    numbered = ordinal(hashed, ["all"], [F.col("hash")], F.substring("hash", 1, 3), "number").drop("all", "hash")
+    tasks = counts.count()
 
-    def uniform(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1_000_003)) / 1_000_003
-
-    # Poisson(1) multiplicity of each task per draw: the large-sample form of drawing tasks with
-    # replacement, and it needs no global position.
-    u = uniform(F.col("draw"), F.col("task"))
-    steps, term = [exp(-1)], exp(-1)
-    while 1 - steps[-1] > 1 / 1_000_003:  # as far as the uniform numbers reach
-        term /= len(steps)
-        steps.append(steps[-1] + term)
-    weight = F.lit(len(steps))
-    for times in reversed(range(len(steps))):
-        weight = F.when(u < steps[times], times).otherwise(weight)
+    def pick(among: Column, *parts: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+        return F.pmod(F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"), among)
 
     def resampled_rate(arm: str) -> Column:
-        picks = F.sequence(F.lit(1), F.col(f"n_{arm}").cast("int"))
-        passed = F.size(
-            F.filter(
-                picks,
-                lambda i: uniform(F.col("draw"), F.col("task"), F.lit(arm), i) < F.col(f"k_{arm}") / F.col(f"n_{arm}"),
-            )
-        )
-        return passed / F.col(f"n_{arm}")
-
-    drawn = (
-        counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("weight", weight)
-        .withColumn("diff", resampled_rate("bootstrap") - resampled_rate("control"))
+        n, k = F.col(f"n_{arm}"), F.col(f"k_{arm}")
+        repeats = F.sequence(F.lit(1), n.cast("int"))
+        return F.size(F.filter(repeats, lambda i: pick(n, F.col("draw"), F.col("slot"), F.lit(arm), i) < k)) / n
+
+    slots = numbered.select(F.col("number").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    chosen = slots.withColumn("number", pick(F.lit(max(tasks, 1)), F.col("draw"), F.col("slot")) + 1)
+    per_draw = (
+        chosen.join(numbered, "number")
+        .groupBy("draw")
+        .agg(F.avg(resampled_rate("bootstrap") - resampled_rate("control")).alias("stat"))
     )
-    per_draw = drawn.groupBy("draw").agg(ratio(F.sum(F.col("diff") * F.col("weight")), F.sum("weight")).alias("stat"))
     tail = (1 - level) / 2
     difference = F.col("k_bootstrap") / F.col("n_bootstrap") - F.col("k_control") / F.col("n_control")
     estimate = counts.agg(F.avg(difference).alias("stat")).withColumn("drawn", F.lit(False))
