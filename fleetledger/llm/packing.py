@@ -23,7 +23,7 @@ from fleetledger.llm.common import Workspace, text_slices
 FULL = 2048
 END_ID = 1
 #: Chunks whose ids a worker remembers; it starts anew beyond.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Rows that one numbering task sorts are about those of one of so many blocks a bucket.
 BLOCKS = 1 << 12
 
@@ -75,6 +75,9 @@ class Encoder:
         self.merging = _merging_encoder(path)
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known = {}
+
     def _learn(self, chunks: list[str]) -> None:
         if self.merging:
             for chunk in chunks:
@@ -86,7 +89,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY:
-            self.known = {}
+            self.forget()
         cut = []
         for text in texts:
             chunks = text.split(" ")
@@ -138,6 +141,8 @@ def pieces(docs: DataFrame, path: str, full: int = FULL) -> DataFrame:
                 ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
             )
+        # workers live on and serve other operators
+        encoder(path).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
