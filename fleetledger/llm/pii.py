@@ -213,7 +213,7 @@ KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | None]]
     ),
     "ip": (r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", _address),
     "social": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _social),
-    "card": (r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
+    "card": (r"(?<!\d)\d(?:[ -]?\d){12,}", _card),
     "phone": (
         r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
         r"|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])",
@@ -221,17 +221,60 @@ KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | None]]
     ),
 }
 _PATTERNS = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
+_WHOLE = re.compile(r".*", re.S)
+_GROUP = re.compile(r"\d+")
+_IBAN_START = re.compile(r"\b[A-Z]{2}\d{2}")
+#: Digit groups as cards print them, and the digits that cards begin with. Such places come before others of their run.
+_ISSUED = "23456"
+_PRINTED = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}")
+
+
+def _card_places(text: str) -> Iterator[re.Match]:
+    """Every stretch of 13 to 19 digits between borders of the groups of a run: the printed forms of the run first, then
+    the longest from each group on. Other numbers before or after a card are groups of the same run. Where valid places
+    overlap, the first in this order is taken, so that going back needs the places as pseudonymise returns them."""
+    for run in _PATTERNS["card"].finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        printed, others = [], []
+        for i, (a, _) in enumerate(groups):
+            digits, ends = 0, []
+            for c, d in groups[i : i + 19]:
+                digits += d - c
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    ends.append(d)
+            for d in reversed(ends):
+                (printed if _PRINTED.fullmatch(text, a, d) else others).append((a, d))
+        printed.sort(key=lambda place: text[place[0]] not in _ISSUED)
+        for a, d in printed + others:
+            yield _WHOLE.fullmatch(text, a, d)
+
+
+def _iban_places(text: str) -> Iterator[re.Match]:
+    """From every start of an IBAN the longest match, then its shorter ends at spaces."""
+    for start in _IBAN_START.finditer(text):
+        m = _PATTERNS["iban"].match(text, start.start())
+        while m:
+            yield m
+            cut = text.rfind(" ", m.start(), m.end())
+            m = _PATTERNS["iban"].fullmatch(text, m.start(), cut) if cut > 0 else None
+
+
+#: Kinds whose pattern may run into what stands beside a value: all places to try, in order.
+_PLACES: dict[str, Callable[[str], Iterator[re.Match]]] = {"card": _card_places, "iban": _iban_places}
 #: What every pattern needs somewhere; a text without it is left as it is.
 NEEDED = r"[0-9@]|(?i:pass|pwd|token|secret|key)"
 
 
 def pseudonymise(text: str, p: Permutation, back: bool = False) -> tuple[str, list[tuple[str, int, str, str]]]:
     """The text with pseudonyms, and what was replaced: kind, place in the old text, old and new value. A place belongs
-    to the first kind, in the order of KINDS, that finds a valid value there."""
+    to the first kind, in the order of KINDS, that finds a valid value there; cards and IBANs are also looked for inside
+    longer runs of groups."""
     taken: list[tuple[int, int, str, str]] = []
     claimed = bytearray(len(text))
     for kind, (_, make) in KINDS.items():
-        for m in _PATTERNS[kind].finditer(text):
+        for m in _PLACES.get(kind, _PATTERNS[kind].finditer)(text):
             if any(claimed[m.start() : m.end()]):
                 continue
             new = make(p, m, back)

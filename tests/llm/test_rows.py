@@ -138,6 +138,27 @@ TEXT = (
 )
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("card 4111111111111111 12/27", "4111111111111111", "card"),
+        ("card 4111 1111 1111 1111 123 end", "4111 1111 1111 1111", "card"),
+        ("4111-1111-1111-1111 3 times", "4111-1111-1111-1111", "card"),
+        ("no. 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("1234 5678 9012 4111 1111 1111 1111 1234", "4111 1111 1111 1111", "card"),
+        ("4111 1111 1111 1111 12.05.2024", "4111 1111 1111 1111", "card"),
+        ("3782 822463 10005 1234", "3782 822463 10005", "card"),
+        ("BE68 5390 0754 7034 2024", "BE68 5390 0754 7034", "iban"),
+        ("XY99 BE68 5390 0754 7034 EUR 50", "BE68 5390 0754 7034", "iban"),
+    ],
+)
+def test_values_beside_other_groups_are_found(text, value, kind):
+    p = pii.Permutation(b"key")
+    new, found = pii.pseudonymise(text, p)
+    assert (kind, text.index(value), value) in {x[:3] for x in found} and value not in new
+    assert pii.pseudonymise(new, p, back=True)[0] == text
+
+
 def test_values_keep_their_format_and_come_back():
     p = pii.Permutation(b"secret")
     new, found = pii.pseudonymise(TEXT, p)
