@@ -7,13 +7,15 @@ pages are those whose own markup names its article. Each is counted twice, once
 and once without (no zone), so that the weights serve pages with and without them.
 
 Elements that are never content (scripts, menus, forms, notices, adverts, comments, ...) are known by name, role, class
-or id; such an element scores like one tag, and what is inside it is no part of a region, also where it stands in one."""
+or id; such an element scores like one tag, and what is inside it is no part of a region, also where it stands in one.
+A form, or an element known by class or id alone, stays if the page's main text can only lie in it: see _dropped()."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -59,6 +61,13 @@ _FRAME_NAMES = frozenset({"header", "footer"})
 _CONTENT_NAMES = frozenset("article post entry content main story".split())
 _NEVER_BY_NAME_KEPT = frozenset({"html", "body", "main"})
 _COMMENT_NAMES = frozenset("comment comments disqus replies respond discussion".split())
+#: Names of lists of other texts, which are no content however long they are.
+_LIST_NAMES = _COMMENT_NAMES | {"related", "recommended", "recommendations"}
+#: In a class or id, what follows the first kind or stands before the second tells of a page's layout or state.
+_LAYOUT_WORDS = frozenset("has have no not with without".split())
+_STATE_WORDS = frozenset("open opened closed on off enabled disabled".split())
+#: An element with at least this share of a page's words is not dropped for its class, its id or being a form.
+BULK = 0.8
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -68,24 +77,70 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _name_parts(attributes: dict[str, str]) -> set[str]:
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return set(re.split(r"[^a-z]+", names.lower()))
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The parts of each class and of the id that name the element itself."""
+    found = []
+    for raw in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower()) if x]
+        layout = next((i for i, x in enumerate(parts) if x in _LAYOUT_WORDS), len(parts))
+        parts = parts[:layout]
+        if parts and parts[-1] not in _STATE_WORDS:
+            found.append(set(parts))
+    return found
+
+
+KEPT, BY_NAME, LISTED, FORM, NEVER = range(5)
 
 
-def never_content(name: str, attributes: dict[str, str]) -> bool:
-    if name in _NEVER or attributes.get("role", "").lower() in _NEVER_ROLES:
-        return True
+def never_content(name: str, attributes: dict[str, str]) -> int:
+    """NEVER if the element is never content, KEPT if it may be; LISTED, FORM and BY_NAME leave it to _dropped()."""
+    if name in _NEVER and name != "form" or attributes.get("role", "").lower() in _NEVER_ROLES - {"form"}:
+        return NEVER
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return name not in _NEVER_BY_NAME_KEPT
+        return KEPT if name in _NEVER_BY_NAME_KEPT else NEVER
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return name not in _NEVER_BY_NAME_KEPT
+        return KEPT if name in _NEVER_BY_NAME_KEPT else NEVER
+    if name == "form" or attributes.get("role", "").lower() == "form":
+        return FORM
     if name in _NEVER_BY_NAME_KEPT or not ("class" in attributes or "id" in attributes):
-        return False
-    parts = _name_parts(attributes)
-    if name == "article":
-        return bool(parts & _COMMENT_NAMES)
-    return bool(parts & _NEVER_NAMES) or bool(parts & _FRAME_NAMES) and not parts & _CONTENT_NAMES
+        return KEPT
+    names = _names(attributes)
+    never = _COMMENT_NAMES if name == "article" else _NEVER_NAMES
+    # a name that only tells of content speaks for the element; one like post-comments does not
+    if any(n & _CONTENT_NAMES and not n & _NEVER_NAMES for n in names):
+        return KEPT
+    parts = set().union(*names)
+    if parts & never & _LIST_NAMES:
+        return LISTED
+    return BY_NAME if parts & never or name != "article" and parts & _FRAME_NAMES else KEPT
+
+
+@dataclass
+class _Doubtful:
+    """An element that is dropped unless _dropped() keeps it: what kind, the one around it, its words, and whether it
+    holds a marked article or a main element."""
+
+    kind: int
+    parent: int
+    words: int = 0
+    article: bool = False
+    main: bool = False
+
+
+def _dropped(doubtful: list[_Doubtful], total: int) -> list[bool]:
+    """Which of the elements are dropped; the first stands for the page. Kept are those that hold BULK of the page's
+    words, lists of other texts not counted, or a main element, and forms that hold a marked article."""
+    for d in reversed(doubtful[1:]):
+        if d.kind == LISTED:
+            total -= d.words
+        else:
+            up = doubtful[d.parent]
+            up.words, up.article, up.main = up.words + d.words, up.article or d.article, up.main or d.main
+    out = [False]
+    for d in doubtful[1:]:
+        whole = d.kind != LISTED and (d.main or d.kind == FORM and d.article or d.words and d.words >= BULK * total)
+        out.append(out[d.parent] or not whole)
+    return out
 
 
 def _names_content(name: str, attributes: dict[str, str]) -> bool:
@@ -100,27 +155,34 @@ def items(html: str) -> tuple[list[Item], bool]:
     words; block numbers rise at every block boundary; named: inside a marked article. Words of elements that are never
     content are left out. Second, whether anything is marked."""
     out: list[Item] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, never content, marks content
-    never = marked = links = block = 0
-    any_mark = False
+    owners: list[int] = []  # of each item the innermost doubtful element
+    doubtful = [_Doubtful(KEPT, 0)]
+    stack: list[tuple[str, bool, bool, int]] = []  # name, never content, marks content, owner outside
+    never = marked = links = block = owner = 0
+    marks: list[int] = []
     blocks = ["body"]
     at, size = 0, len(html)
 
     def pop() -> None:
-        nonlocal never, marked, links
-        name, was_never, was_marked = stack.pop()
+        nonlocal never, marked, links, owner
+        name, was_never, was_marked, owner = stack.pop()
         never -= was_never
         marked -= was_marked
         links -= name == "a"
         if name in _BLOCK and len(blocks) > 1:
             blocks.pop()
 
+    def put(item: Item) -> None:
+        out.append(item)
+        owners.append(owner)
+
     def words(text: str) -> None:
         if not never and text:
             text = unescape(text)
             n = len(text.split())
+            doubtful[owner].words += n
             if n or text:
-                out.append((f"{blocks[-1]}{'+a' if links else ''}", text, n, block, marked > 0))
+                put((f"{blocks[-1]}{'+a' if links else ''}", text, n, block, marked > 0))
 
     while at < size:
         m = _TOKEN.search(html, at)
@@ -141,7 +203,7 @@ def items(html: str) -> tuple[list[Item], bool]:
                     pop()
                 pop()
             if not never:
-                out.append((f"/{name}", "", 0, block, marked > 0))
+                put((f"/{name}", "", 0, block, marked > 0))
             continue
         attributes = _attributes(m["attrs"]) if m["attrs"].strip(" /\n\t") else {}
         ends = _ENDS.get(name)
@@ -153,23 +215,33 @@ def items(html: str) -> tuple[list[Item], bool]:
                 for _ in range(depth + 1):
                     pop()
         if not never:
-            out.append((name, "", 0, block, marked > 0))
+            put((name, "", 0, block, marked > 0))
         if name in _RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = close.end() if close else size
             continue
         if name in _VOID or m["attrs"].endswith("/") and name not in _BLOCK:
             continue
-        is_never, is_marked = never_content(name, attributes), _names_content(name, attributes)
-        is_marked = is_marked and not never and not is_never
-        any_mark |= is_marked
-        stack.append((name, is_never, is_marked))
+        kind = never_content(name, attributes)
+        is_never, is_marked = kind == NEVER, _names_content(name, attributes) and not never and kind == KEPT
+        stack.append((name, is_never, is_marked, owner))
+        if kind in (BY_NAME, LISTED, FORM) and not never:
+            doubtful.append(_Doubtful(kind, owner))
+            owner = len(doubtful) - 1
+        if is_marked:
+            marks.append(owner)
+            doubtful[owner].article = True
+            doubtful[owner].main |= name != "article"
         never += is_never
         marked += is_marked
         links += name == "a"
         if name in _BLOCK:
             blocks.append(name)
-    return out, any_mark
+    if len(doubtful) > 1:
+        gone = _dropped(doubtful, sum(d.words for d in doubtful))
+        out = [item for item, at in zip(out, owners, strict=True) if not gone[at]]
+        marks = [at for at in marks if not gone[at]]
+    return out, bool(marks)
 
 
 def _feature(item: Item, zoned: bool) -> str:

@@ -202,6 +202,36 @@ def page(body):
     return f"<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
+PROSE = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("around", "shown"),
+    [
+        ('<div class="content has-sidebar">{}</div>', True),
+        ('<div id="content" class="no-sidebar">{}</div>', True),
+        ('<section class="post with-comments">{}</section>', True),
+        ('<article class="post comment-open">{}</article>', True),
+        ('<div class="page-with-sidebar">{}</div>', True),
+        ('<div class="sidebar-layout">{}</div>', True),
+        ('<form id="aspnetForm">{}</form>', True),
+        ('<div class="post-comments">{}</div>', False),
+        ('<div class="related">{}</div>', False),
+        ('<article class="comment">{}</article>', False),
+        ('<p>{other}</p><div class="sidebar">{}</div>', False),
+        ('<p>{other}</p><form>{}</form>', False),
+    ],
+)
+def test_names_and_forms_around_the_text(around, shown):
+    text = html.main_text(page(around.format(f"<p>{PROSE}</p>", other=PROSE.replace("word", "term"))), {})
+    assert (PROSE in text) == shown
+
+
+def test_parts_of_a_kept_form_are_still_dropped():
+    body = f'<form><div class="menu">menu words</div><p>{PROSE}</p><div class="comments">{PROSE.upper()}</div></form>'
+    assert html.main_text(page(body), {}) == PROSE
+
+
 def test_main_text_of_pages(spark):
     rows = [(i, f"u{i}", page(body), "x") for i, (body, _) in enumerate(PAGES)]
     rows += [(90, None, None, "x"), (91, "u", "", "x"), (None, "u", "no markup at all", "x"), (92, "u", "<p>never <b>closed", "x"), (93, "v", "<" * 5000, "x")]
