@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetledger.llm.common import Workspace, table
 from fleetledger.llm.fingerprint import fingerprints
@@ -13,6 +14,7 @@ from fleetledger.llm.langid import identify
 from fleetledger.llm.minhash import near_duplicates
 from fleetledger.llm.mixing import mix_to_targets
 from fleetledger.llm.packing import pack
+from fleetledger.llm.pieces import encode_texts
 from fleetledger.llm.pii import TRIAL_KEY, with_pseudonyms
 from fleetledger.llm.quality import judge
 from fleetledger.llm.sharding import reshard
@@ -25,6 +27,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_model() -> str:
+    """The merge-type vocabulary file that the encoding query reads."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -116,3 +125,16 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_html_text"] = op7_html_text
+
+
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_texts(table(spark, sf_dir, "documents"), pieces_model())
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES["op13_piece_encoding"] = op13_piece_encoding
