@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetledger.llm.centroids import cluster
 from fleetledger.llm.common import Workspace, table
 from fleetledger.llm.fingerprint import fingerprints
 from fleetledger.llm.html import extract
 from fleetledger.llm.langid import identify
+from fleetledger.llm.lexical import search
 from fleetledger.llm.minhash import near_duplicates
 from fleetledger.llm.mixing import mix_to_targets
 from fleetledger.llm.packing import pack
@@ -138,3 +140,79 @@ def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_piece_encoding"] = op13_piece_encoding
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = cluster(table(spark, sf_dir, "embeddings"), Workspace(spark))
+    return found
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """The assignments and means of each round, written out one after the other."""
+    parts = [
+        """WITH kept AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        x AS MATERIALIZED (
+          SELECT r, generate_subscripts(embedding, 1) AS d, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS v FROM kept),
+        c0 AS MATERIALIZED (
+          SELECT c, d, v FROM x JOIN (
+            SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), r) - 1 AS c FROM kept QUALIFY c < 8) USING (r))"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+          SELECT r, min(distance * 8 + c) % 8 AS c, min(distance * 8 + c) // 8 AS distance FROM (
+            SELECT r, c, sum((x.v - m.v) * (x.v - m.v))::BIGINT AS distance FROM x JOIN c{i} m USING (d) GROUP BY r, c)
+          GROUP BY r)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+          SELECT c, d, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+            SELECT c, d, (s - ((s % n) + n) % n) // n AS v FROM (
+              SELECT c, d, sum(v)::BIGINT AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY c, d)) n USING (c, d))"""
+            )
+    return (
+        ",\n        ".join(parts)
+        + f"""
+        SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance,
+          sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN kept USING (r)
+        JOIN (SELECT c, sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+    )
+
+
+QUERIES["op11_centroids"] = op11_centroids
+ORACLES["op11_centroids"] = _centroid_sql()
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark))
+
+
+QUERIES["op12_lexical_search"] = op12_lexical_search
+ORACLES["op12_lexical_search"] = r"""
+    WITH held AS (
+      SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    asked AS (
+      SELECT item, item_id, term, count(*) AS times FROM (
+        SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY ALL),
+    lengths AS (SELECT d, doc_id, count(*) AS n FROM held GROUP BY ALL),
+    size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+    found AS (SELECT d, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM found, size GROUP BY term, docs),
+    scored AS (
+      SELECT item, item_id, doc_id, d,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+      FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (d), size
+      GROUP BY ALL),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, d) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -66,8 +66,15 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """The words of a string array; a null is an empty text. lower: A-Z count as a-z."""
+#: Bytes between words: space and 0x09-0x0D.
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes between terms: all of ASCII but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words_of(column: pa.Array, lower: bool = False, between: np.ndarray = BLANKS) -> Words:
+    """The words of a string array: runs of bytes that are not between words. A null is an empty text. lower: A-Z count
+    as a-z."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
@@ -77,7 +84,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     bounds = bounds - bounds[0]
     if lower:
         data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~between[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     cuts = bounds[(bounds > 0) & (bounds < len(data))]
