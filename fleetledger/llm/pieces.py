@@ -32,8 +32,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE, MERGES = 1, 2, 3, 6, 2
 UNKNOWN_SURFACE = " ⁇ "
 #: A chunk of more characters has a heap of its own.
 SHORT = 48
-#: Bytes of remembered chunks and ids of a worker; it starts anew beyond. Longer chunks than LONG are never remembered.
-MEMORY, LONG = 48_000_000, 200
+#: Bytes of remembered chunks and ids of a worker, in two generations: when the younger one is full the older goes, and
+#: what is met again moves back. Longer chunks than LONG are never remembered.
+MEMORY, LONG = 96_000_000, 200
 _NEVER = np.int64(1) << 40
 
 
@@ -118,13 +119,14 @@ class Pieces:
         ]
         self.lead = {i for p, i in normal.items() if p.startswith(SPACE)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _symbol_of(self, part: str, normal: dict[str, int]) -> int | None:
         return normal.get(part, self.size + ord(part) if len(part) == 1 else None)
 
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.older, self.held = {}, {}, 0
 
     # encoding
 
@@ -218,8 +220,11 @@ class Pieces:
             for chunk, sizes, symbols in self._rounds(self.symbol[code], lengths):
                 raw, ends = symbols.astype(np.int32).tobytes(), np.cumsum(sizes)
                 odd = np.maximum.reduceat(symbols, ends - sizes) >= self.size
-                for c, start, end, other in zip(chunk.tolist(), (ends - sizes).tolist(), ends.tolist(), odd.tolist(), strict=True):
-                    found[short[c]] = self._ids(symbols[start:end].tolist()) if other else raw[4 * start : 4 * end]
+                ends, starts = (4 * ends).tolist(), (4 * (ends - sizes)).tolist()
+                names = [short[c] for c in chunk.tolist()]
+                found.update(zip(names, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+                for i in np.flatnonzero(odd).tolist():
+                    found[names[i]] = self._ids(symbols[starts[i] // 4 : ends[i] // 4].tolist())
         for chunk in chunks:
             if len(chunk) > SHORT:
                 code = np.frombuffer(chunk.encode("utf-32-le", "replace"), np.uint32)
@@ -228,15 +233,17 @@ class Pieces:
 
     def encode(self, texts: list[str], end: bool = True) -> list[np.ndarray]:
         """The ids of each text as the library gives them, with the end id behind if asked for."""
-        if self.held > MEMORY:
-            self.forget()
+        if self.held > MEMORY // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         chunks = [cut(t) if self.cuts else [t] * bool(t) for t in self.library.normalize(texts)]
         fresh = {c for of in chunks for c in of}.difference(self.known)
-        new = self._encode_chunks(list(fresh))
+        again = {c: self.older[c] for c in self.older.keys() & fresh}
+        new = self._encode_chunks(list(fresh.difference(again)))
         long = {c: ids for c, ids in new.items() if len(c) > LONG}
         for chunk in long:
             del new[chunk]
+        new |= again
         self.known.update(new)
         self.held += sum(map(len, new.values())) + 2 * sum(map(len, new)) + 200 * len(new)
         tail = np.array([self.end] if end else [], np.int32).tobytes()
@@ -328,8 +335,6 @@ def encode_texts(docs: DataFrame, path: str, end: bool = True, check: bool = Tru
                 ],
                 names=["doc_id", "ids", "decoded"],
             )
-        # workers live on and serve other operators
-        model.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string"
