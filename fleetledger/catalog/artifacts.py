@@ -23,7 +23,7 @@ from fleetledger.plans import extensions
 from fleetledger.sources import artifacts as a
 from fleetledger.sources import bindings as b
 from fleetledger.sources import sinks
-from fleetledger.streaming import jobs
+from fleetledger.streaming import jobs, late
 
 NL = "chr(10)"
 
@@ -558,6 +558,50 @@ def running_counts(spark, sf):
     return counts.withColumn("last_modified", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss"))
 
 
+_IN_PARTS = 7  # arrivals of one feed are dealt over so many batches
+
+
+def _run_in_parts(spark, log, start):
+    """Runs a job over the log arriving in parts, one batch each, from one checkpoint."""
+    feed, mark = scratch(spark, "feed"), scratch(spark, "checkpoint")
+    for part in range(_IN_PARTS):
+        log.where(F.pmod("event_id", F.lit(_IN_PARTS)) == part).write.mode("append").parquet(feed)
+        start(spark.readStream.schema(log.schema).parquet(feed), mark).awaitTermination()
+
+
+@query(
+    "t2_running_stats",
+    sql(
+        """SELECT repo_id, count(*) AS total_sessions, strftime(min(ts), '%Y-%m-%d') AS first_date,
+                  strftime(max(ts), '%Y-%m-%d') AS last_date, CAST(floor(sum(total_tokens) / count(*) + 0.5) AS BIGINT) AS avg_tokens
+           FROM context_log GROUP BY repo_id""",
+        "context_log",
+    ),
+)
+def running_stats(spark, sf):
+    """The whole log in several batches, with snapshots between them."""
+    out = scratch(spark, "stats")
+    _run_in_parts(spark, b.context_log(spark, sf), lambda stream, mark: jobs.maintain_stats(stream, out, mark, every=3))
+    return jobs.current_stats(spark, out)
+
+
+@query(
+    "t3_late_rows",
+    sql(
+        f"""SELECT repo_id, event_id, coalesce(ts < max(high) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 7 DAY, false) AS late
+            FROM (SELECT repo_id, event_id, ts, event_id % {_IN_PARTS} AS part, max(ts) OVER (PARTITION BY event_id % {_IN_PARTS}) AS high FROM context_log)""",
+        "context_log",
+    ),
+)
+def late_rows(spark, sf):
+    """The whole log in several batches, the later ones full of late rows; on-time and late rows together are the log."""
+    out = scratch(spark, "parted")
+    _run_in_parts(spark, b.context_log(spark, sf), lambda stream, mark: late.split_late(stream, out, mark))
+    tables = (late.on_time(spark, out), False), (late.late(spark, out), True)
+    on_time, behind = (rows.select("repo_id", "event_id", F.lit(flag).alias("late")) for rows, flag in tables)
+    return on_time.unionByName(behind)
+
+
 @query("t3_retained_log", sql("SELECT repo_id, event_id FROM context_log WHERE ts >= TIMESTAMP '2024-01-10'", "context_log"))
 def retained_log(spark, sf):
     out = scratch(spark, "retained")
@@ -567,12 +611,13 @@ def retained_log(spark, sf):
 
 @query("t4_guarded_texts", sql("SELECT f.path, k.path IS NULL AS allowed FROM files f LEFT JOIN (SELECT DISTINCT path FROM keys) k USING (path)", "files", "keys"))
 def guarded_texts(spark, sf):
-    feed, good, bad = scratch(spark, "texts"), scratch(spark, "allowed"), scratch(spark, "blocked")
+    feed, out = scratch(spark, "texts"), scratch(spark, "guarded")
     texts = b.markdown_files(spark, sf)
     texts.write.parquet(feed)
     stream = spark.readStream.schema(texts.schema).parquet(feed)
-    jobs.guard_texts(stream, good, bad, scratch(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(good).unionByName(spark.read.parquet(bad)).select("path", "allowed")
+    jobs.guard_texts(stream, out, scratch(spark, "checkpoint")).awaitTermination()
+    passed, blocked = (jobs.guarded_texts(spark, out, allowed) for allowed in (True, False))
+    return passed.unionByName(blocked).select("path", "allowed")
 
 
 # Extension points -----------------------------------------------------------

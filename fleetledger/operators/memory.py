@@ -43,16 +43,31 @@ def top_files(log: DataFrame, n: int = TOP_FILES) -> DataFrame:
     return load_counts(log).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def log_stats(log: DataFrame) -> DataFrame:
-    """Entries, first and last date and rounded mean tokens per repository."""
+def log_totals(log: DataFrame) -> DataFrame:
+    """The sums and extremes that the statistics are made of; they add up batch by batch."""
     return log.groupBy("repo_id").agg(
         F.count("*").alias("total_sessions"),
-        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_date"),
-        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_date"),
-        F.floor(F.sum("total_tokens") / F.count("*") + 0.5).cast("long").alias("avg_tokens"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.sum("total_tokens").alias("tokens"),
+    )
+
+
+def stats_of_totals(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        "repo_id",
+        "total_sessions",
+        F.date_format("first_ts", "yyyy-MM-dd").alias("first_date"),
+        F.date_format("last_ts", "yyyy-MM-dd").alias("last_date"),
+        F.floor(F.col("tokens") / F.col("total_sessions") + 0.5).cast("long").alias("avg_tokens"),
     )
 
 
+def log_stats(log: DataFrame) -> DataFrame:
+    """Entries, first and last date and rounded mean tokens per repository."""
+    return stats_of_totals(log_totals(log))
+
+
 def passive_loads(log: DataFrame, always_include: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Always-included files loaded at least ``threshold`` times and never modified."""
     return (

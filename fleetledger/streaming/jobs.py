@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetledger.operators.memory import log_totals, stats_of_totals
 from fleetledger.operators.secrets import guard_verdicts
+from fleetledger.streaming import published
+
+FILE_KEYS, REPO_KEYS = ["repo_id", "path"], ["repo_id"]
 
 
 def deduplicated(stream: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -32,21 +36,24 @@ def load_counts(stream: DataFrame) -> DataFrame:
     )
 
 
-def maintain_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Publish the counts that each batch changes, under the batch's id: a batch run again after a failure replaces itself,
-    and the work of a batch follows what arrived in it. :func:`current_counts` reads the counts so far."""
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = load_counts(stream).writeStream.outputMode("update").foreachBatch(publish)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def maintain_counts(stream: DataFrame, path: str, checkpoint: str, every: int = published.EVERY) -> StreamingQuery:
+    """Publish the running counts per file; :func:`current_counts` reads them."""
+    return published.publish(load_counts(stream), FILE_KEYS, path, checkpoint, every)
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
     """``repo_id, path, loads, last_modified`` as of the last batch that changed each file's counts."""
-    latest = F.max_by(F.struct("loads", "last_modified"), "batch").alias("latest")
-    return spark.read.parquet(path).groupBy("repo_id", "path").agg(latest).select("repo_id", "path", "latest.*")
+    return published.current(spark, path, FILE_KEYS)
+
+
+def maintain_stats(stream: DataFrame, path: str, checkpoint: str, every: int = published.EVERY) -> StreamingQuery:
+    """Publish the running totals per repository; :func:`current_stats` reads the statistics they give."""
+    return published.publish(log_totals(stream), REPO_KEYS, path, checkpoint, every)
+
+
+def current_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Entries, first and last date and rounded mean tokens per repository, as of the last batch."""
+    return stats_of_totals(published.current(spark, path, REPO_KEYS))
 
 
 def retained(stream: DataFrame, cutoff: str) -> DataFrame:
@@ -59,16 +66,15 @@ def append_retained(stream: DataFrame, cutoff: str, path: str, checkpoint: str)
     return writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def guard_texts(stream: DataFrame, allowed_path: str, blocked_path: str, checkpoint: str) -> StreamingQuery:
-    """Scan arriving texts; those with secrets go to the quarantine instead.
+def guard_texts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Scan arriving texts; those with secrets go to the quarantine, the folders ``allowed=false``.
 
-    Each batch's rows land under its own id, so a batch run again after a failure replaces itself.
+    Each batch is scanned and written once, under its own id, so a batch run again after a failure replaces itself.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
         judged = guard_verdicts(batch, strict=True)
-        for path, rows in ((allowed_path, judged.where("allowed")), (blocked_path, judged.where("NOT allowed"))):
-            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        judged.write.mode("overwrite").partitionBy("allowed").parquet(f"{path}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(split)
@@ -76,3 +82,9 @@ def guard_texts(stream: DataFrame, allowed_path: str, blocked_path: str, checkpo
         .trigger(availableNow=True)
         .start()
     )
+
+
+def guarded_texts(spark: SparkSession, path: str, allowed: bool) -> DataFrame:
+    """The texts that passed, or those in quarantine."""
+    texts = spark.read.parquet(path).withColumn("allowed", F.col("allowed").cast("boolean"))
+    return texts.where(F.col("allowed") == allowed).drop("batch")
