@@ -35,7 +35,11 @@ SHORT = 48
 #: Bytes of remembered chunks and ids of a worker, in two generations: when the younger one is full the older goes, and
 #: what is met again moves back. Longer chunks than LONG are never remembered.
 MEMORY, LONG = 96_000_000, 200
-_NEVER = np.int64(1) << 40
+_NEVER = np.int64(1) << 34
+#: Bits of a symbol's place among all symbols of a step.
+_PLACE = 28
+#: No symbol: what stands between chunks.
+_MARK = (1 << 31) - 1
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -117,6 +121,10 @@ class Pieces:
         self.surface = [
             "" if t == CONTROL else UNKNOWN_SURFACE if t == UNKNOWN else p.replace(SPACE, " ") for p, _, t in vocabulary
         ]
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.surface)]
+        self.surface_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.lead = {i for p, i in normal.items() if p.startswith(SPACE)}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -165,37 +173,31 @@ class Pieces:
     def _rounds(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The symbols that the agendas of many short chunks leave; each round merges the first pair of every agenda.
         Yields (chunks, sizes, symbols) of agendas as they become empty."""
-        chunk, end = np.arange(len(sizes)), np.cumsum(sizes)
-        last = np.zeros(len(symbols), bool)
-        last[end - 1] = True
-        rank, merged = self._rank(symbols, np.append(symbols[1:], 0))
-        rank[last] = _NEVER
+        chunk, sizes = np.arange(len(sizes)), sizes + 1
+        # a mark before each chunk, that forms no pair, and one at the end
+        symbols = np.append(np.insert(symbols, np.cumsum(sizes - 1) - sizes + 1, _MARK), _MARK)
+        rank, merged = self._rank(symbols[:-1], symbols[1:])
+        symbols, place = symbols[:-1], np.arange(len(symbols) - 1)
         while len(chunk):
-            start = end - sizes
+            start = np.cumsum(sizes) - sizes
             # rank and place in one number: the least is the best score, leftmost
-            best = np.minimum.reduceat((rank << 20) + (np.arange(len(rank)) - np.repeat(start, sizes)), start)
-            goes = best < _NEVER << 20
+            key = rank << _PLACE | place
+            best = np.minimum.reduceat(key, start)
+            goes = best < _NEVER << _PLACE
+            keep = np.repeat(goes, sizes)
             if not goes.all():
-                stay = np.repeat(goes, sizes)
-                yield chunk[~goes], sizes[~goes], symbols[~stay]
-                symbols, rank, merged, last = symbols[stay], rank[stay], merged[stay], last[stay]
-                chunk, sizes, best = chunk[goes], sizes[goes], best[goes]
-                end = np.cumsum(sizes)
-                start = end - sizes
-                if not len(chunk):
-                    break
-            at = start + (best & ((1 << 20) - 1))
+                gone = ~keep
+                gone[start[~goes]] = False
+                yield chunk[~goes], sizes[~goes] - 1, symbols[gone]
+            at = np.flatnonzero(key == np.repeat(np.where(goes, best, -1), sizes))
             symbols[at] = merged[at]
-            last[at] = last[at + 1]
-            keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols, rank, merged, last = symbols[keep], rank[keep], merged[keep], last[keep]
-            at -= np.arange(len(at))
-            sizes = sizes - 1
-            end = np.cumsum(sizes)
-            new = np.concatenate([at, at[at > end - sizes] - 1])
-            rank[new], merged[new] = self._rank(symbols[new], symbols[np.minimum(new + 1, len(symbols) - 1)])
-            rank[last] = _NEVER
+            rank, merged, place = rank[keep], merged[keep], place[keep]
+            at = np.cumsum(keep)[at] - 1
+            symbols, chunk, sizes = symbols[keep], chunk[goes], sizes[goes] - 1
+            new = np.concatenate([at - 1, at])
+            after = np.concatenate([symbols[at], np.append(symbols, _MARK)[at + 1]])
+            rank[new], merged[new] = self._rank(symbols[new], after)
 
     def _ids(self, symbols: list[int]) -> bytes:
         """Ids as 32-bit numbers: characters without a piece become their bytes, or one unknown id a run."""
@@ -257,23 +259,39 @@ class Pieces:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are nothing, runs of byte pieces are characters (a byte that belongs to none
         stands as U+FFFD), and the space mark that the encoder put first goes again."""
-        surface, out, at = self.surface, [], 0
-        ids = ids.tolist()
-        bytes_at = [i for i, x in enumerate(ids) if x in self.byte_of] if self.byte_of else []
-        runs: list[list[int]] = []
-        for i in bytes_at:
-            if runs and runs[-1][1] == i:
-                runs[-1][1] = i + 1
-            else:
-                runs.append([i, i + 1])
-        for start, end in runs:
-            out.extend(map(surface.__getitem__, ids[at:start]))
-            out.append(_characters(bytes(self.byte_of[x] for x in ids[start:end])))
-            at = end
-        out.extend(map(surface.__getitem__, ids[at:]))
-        text = "".join(out)
-        first = next((x for x, part in zip(ids, out, strict=False) if part), None) if text else None
-        return text[1:] if first in self.lead else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, texts: list[np.ndarray]) -> list[str]:
+        """The texts of many id arrays, their pieces' bytes gathered at once."""
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        size = self.surface_size[flat]
+        data = self.surface_bytes[
+            np.repeat(self.surface_start[flat] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        ].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, texts)])].tolist()
+        out = []
+        for ids, a, b in zip(texts, ends, ends[1:], strict=False):
+            try:
+                text = data[a:b].decode()
+            except UnicodeDecodeError:
+                text = self._by_runs(ids.tolist())
+            if text.startswith(" "):
+                first = next(i for i in ids.tolist() if self.surface_size[i])
+                text = text[first in self.lead :]
+            out.append(text)
+        return out
+
+    def _by_runs(self, ids: list[int]) -> str:
+        """A text with bytes that form no character: each run of byte pieces by itself."""
+        out: list[str] = []
+        run = bytearray()
+        for i in ids:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                continue
+            out += [_characters(bytes(run)), self.surface[i]]
+            run.clear()
+        return "".join([*out, _characters(bytes(run))])
 
 
 def _characters(raw: bytes) -> str:
@@ -316,7 +334,7 @@ def encode_texts(docs: DataFrame, path: str, end: bool = True, check: bool = Tru
         for batch in text_slices(batches):
             texts = batch.column("text").fill_null("").to_pylist()
             ids = model.encode(texts, end)
-            decoded = [model.decode(x) for x in ids]
+            decoded = model.decode_all(ids)
             if check:
                 wanted = model.library.encode(texts, add_eos=end, num_threads=1)
                 for row, (mine, theirs) in enumerate(zip(ids, wanted, strict=True)):
