@@ -9,9 +9,11 @@ No list becomes all its pairs:
 * Texts of one shingle set are one class, and only classes are compared.
 * A value that no other class retains makes no list. Each class enters the lists of its rarest values only: a pair
   within the threshold shares at least m of k retained values, so the k - m + 1 rarest of either side hold a shared one.
-* Every list first becomes a star around its most central class (the one whose values are the most frequent: the
-  original of a group of edited copies). After these links are confirmed, only lists that still span several components
-  give pairs, and only across components.
+* Every list first becomes a star around its most central class (the one whose values are the most frequent, the smaller
+  of equal ones: the original of a group of edited copies). Lists that still span several components after these links
+  are confirmed become stars again, on full sets, around other classes, component after component joining, for as long
+  as that finds links and pairs would outnumber the entries of the lists. Only what then still spans components gives
+  pairs, and only across components.
 
 The bound m is the largest with a binomial tail of TAIL below it, so a pair at the very threshold is missed with that
 probability, and any more similar pair with less.
@@ -36,6 +38,9 @@ from fleetledger.llm.words import shingle_sets, words_of
 
 SKETCH_SIZE = 48
 TAIL = 1e-7
+#: Lists become stars again while they would give more pairs than this for each of their entries, and until so many rounds
+#: in a row found no link.
+PAIRS_AN_ENTRY, FRUITLESS = 4, 2
 
 
 def least_overlap(k: int, threshold: Fraction, tail: float = TAIL) -> int:
@@ -185,7 +190,7 @@ def near_duplicates(
         likely = work.save(likely.select("u", "v", "u_key", "v_key"), f"{name}-likely")
         return work.save(_confirmed(likely, texts, shingle_words, threshold), f"{name}-links")
 
-    centre = lists.groupBy("value").agg(F.max(F.struct("central", "cls", "n")).alias("c"))
+    centre = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("n")).alias("smaller"), "cls", "n")).alias("c"))
     stars = (
         lists.join(
             centre.select("value", F.col("c.cls").alias("other_cls"), F.col("c.n").alias("other_n")), "value"
@@ -247,12 +252,13 @@ def _open_classes(lists: DataFrame, parts: DataFrame) -> DataFrame:
 def _across(
     work: Workspace, classes: DataFrame, texts: DataFrame, open_classes: DataFrame, shingle_words: int, threshold: Fraction
 ) -> DataFrame:
-    """All links (u, v) between different components of the open classes, from their full sets.
+    """Links (u, v) from full sets that join all components of the open classes that any link joins.
 
     Each set is ordered by frequency, rarest first. Two sets of sizes n and l within the threshold t share at least
     t (n + l) / (1 + t) values, so the first n - t n + 1 of each hold a shared one, and a value at positions i and j
     leaves room for that many only if enough values follow it on both sides. An edited copy's own values come first
-    and soon leave no room: a group of edited copies makes few pairs."""
+    and soon leave no room. Where many classes of a list are linked across components, stars join these before any pairs
+    are made, each star one pair an entry: the work stays in proportion to the lists."""
     up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,20 +289,58 @@ def _across(
     lists = work.save(
         ranked.select("cls", "part", "n", "own", F.posexplode(F.slice("by_df", F.lit(1), F.col("lists"))))
         .where("col.wide")
-        .select("cls", "part", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("room"), F.col("col.value").alias("value")),
+        .select("cls", "part", "n", "own", (F.col("n") - F.col("own") - F.col("pos")).alias("room"), F.col("col.value").alias("value")),
         "open-lists",
     )
-    other = lists.select("value", *(F.col(c).alias(f"other_{c}") for c in ("cls", "part", "n", "room")))
-    pairs = (
-        lists.join(other, "value")
-        .where("part < other_part")
-        .where(F.least("n", "other_n") * down >= F.greatest("n", "other_n") * up)
-        .where(F.least("room", "other_room") * (up + down) >= (F.col("n") + F.col("other_n")) * up)
-        .select(F.col("cls").alias("u"), F.col("other_cls").alias("v"))
-        .distinct()
-    )
-    mine = sets.select(F.col("cls").alias("u"), F.col("full").alias("x"))
-    theirs = sets.select(F.col("cls").alias("v"), F.col("full").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    fits = shared * (up + down) >= (F.size("x") + F.size("y")) * up
-    return work.save(work.save(pairs, "open-pairs").join(mine, "u").join(theirs, "v").where(fits).select("u", "v"), "open-links")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs of entries of one value, those within the threshold: u, v and their components."""
+        likely = (
+            pairs.where("part <> other_part")
+            .where(F.least("n", "other_n") * down >= F.greatest("n", "other_n") * up)
+            .where(F.least("room", "other_room") * (up + down) >= (F.col("n") + F.col("other_n")) * up)
+            .select(F.col("cls").alias("u"), F.col("other_cls").alias("v"), "part", "other_part")
+            .dropDuplicates(["u", "v"])
+        )
+        mine = sets.select(F.col("cls").alias("u"), F.col("full").alias("x"))
+        theirs = sets.select(F.col("cls").alias("v"), F.col("full").alias("y"))
+        fits = F.size(F.array_intersect("x", "y")) * (up + down) >= (F.size("x") + F.size("y")) * up
+        found = work.save(likely, f"{name}-pairs").join(mine, "u").join(theirs, "v").where(fits)
+        return work.save(found.select("u", "v", "part", "other_part"), f"{name}-links")
+
+    def others(rows: DataFrame) -> DataFrame:
+        return rows.select("value", *(F.col(c).alias(f"other_{c}") for c in ("cls", "part", "n", "room")))
+
+    links, fruitless, turn = None, 0, 0
+    while True:
+        spread = lists.groupBy("value", "part").agg(F.count("*").alias("m")).groupBy("value").agg(
+            F.count("*").alias("parts"), F.sum("m").alias("entries"), F.sum(F.col("m").cast("double") ** 2).alias("within")
+        )
+        wide = spread.where("parts > 1")
+        lists = work.save(lists.join(wide.select("value"), "value", "left_semi"), "open-lists")
+        size = wide.agg(
+            F.sum("entries").alias("entries"), F.sum((F.col("entries").cast("double") ** 2 - F.col("within")) / 2).alias("pairs")
+        ).first()
+        if not size.entries or fruitless == FRUITLESS or size.pairs <= PAIRS_AN_ENTRY * size.entries:
+            break
+        # the class with the fewest values of its own first, then any
+        order = F.col("own") / F.col("n") if not turn else F.xxhash64("value", "cls", F.lit(turn))
+        centre = lists.withColumn("order", order).groupBy("value").agg(
+            F.min(F.struct("order", "cls", "part", "n", "room")).alias("c")
+        )
+        more = confirmed(lists.join(others(centre.select("value", "c.*")), "value"), "round")
+        turn += 1
+        if more.isEmpty():
+            fruitless += 1
+            continue
+        fruitless = 0
+        links = more if links is None else links.union(more)
+        roots = components(work, more.select(F.col("part").alias("u"), F.col("other_part").alias("v")))
+        moved = lists.join(roots.withColumnRenamed("node", "part"), "part", "left")
+        lists = work.save(moved.withColumn("part", F.coalesce("root", "part")).drop("root"), "open-lists")
+    if size.entries:
+        more = confirmed(lists.join(others(lists), "value").where("cls < other_cls"), "open")
+        links = more if links is None else links.union(more)
+    if links is None:
+        links = sets.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    return links.select("u", "v")

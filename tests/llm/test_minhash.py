@@ -87,3 +87,50 @@ def test_kept_is_the_least_id(spark):
 def test_least_overlap_bound():
     assert 20 < least_overlap(48, Fraction(85, 100)) < 35
     assert least_overlap(10, Fraction(1, 1)) == 10
+
+
+def appended(base_words, copies, seed, longest=4):
+    """One text, and copies of it with one to four words behind."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(base_words)]
+    rows = [(i, " ".join(base + [f"x{rng.randrange(10**9)}" for _ in range(rng.randint(1, longest))]), "en") for i in range(copies)]
+    return rows
+
+
+class Counting(Workspace):
+    """Counts the rows of the tables of pairs."""
+
+    pairs = 0
+
+    def save(self, df, name):
+        saved = super().save(df, name)
+        if name.endswith(("-pairs", "-likely")):
+            self.pairs += saved.count()
+        return saved
+
+
+def test_groups_of_mutual_copies_make_pairs_in_proportion(spark):
+    for base, threshold, longest in ((36, Fraction(85, 100), 4), (24, Fraction(80, 100), 9)):
+        made = []
+        for copies in (300, 600):
+            work = Counting(spark)
+            rows = appended(base, copies, copies, longest)
+            found = near_duplicates(documents(spark, rows), work, threshold).collect()
+            if copies == 300:
+                assert sorted((r.doc_id, r.component_id) for r in found) == sorted(
+                    (i, c) for i, _, c in brute_force(rows, threshold)
+                )
+            made.append(work.pairs)
+        assert made[1] < 2.6 * made[0] and made[1] < 8 * 600
+
+
+def test_drifting_copies_form_one_component(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(words), "en"))
+        words[rng.randrange(60)] = f"n{i}"
+    work = Counting(spark)
+    found = near_duplicates(documents(spark, rows), work, Fraction(80, 100)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, c) for i, _, c in brute_force(rows, Fraction(80, 100)))
