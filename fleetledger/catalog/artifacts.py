@@ -435,45 +435,107 @@ def days_since_update(spark, sf):
     return b.table(spark, sf, "orders").select("o_orderkey", days.alias("days"), (days > health.STALE_DAYS).alias("stale"))
 
 
+# Every repository's index comes in pages, one an order. Repositories differ by their number.
+RELATIONS["index_pages"] = (
+    (),
+    """SELECT 'src' || o_custkey % 20 AS repo_id, o_custkey % 20 AS n, o_orderkey, o_orderpriority FROM orders
+       WHERE o_custkey % 20 >= 10 OR o_orderkey % 4 = 0""",
+)
+INDEX_PAGE = f"""concat('## Always Include', {NL}, '| File | Purpose |', {NL}, '|---|---|', {NL}, '| docs/a', o_orderkey % (3 + o_custkey % 4), '.md | Doc |', {NL},
+  '## Chunk ', o_orderkey % 6 + 1, {NL}, '| src/f', o_orderkey, '.ts | ', o_orderpriority, ' |', {NL}, '| /etc/f', o_orderkey % 3, ' | Out |', {NL},
+  CASE WHEN o_custkey % 20 % 5 = 2 AND o_orderkey % 11 = 0 THEN concat('| lonely |', {NL}) ELSE '' END, '## Notes', {NL}, '| src/x.ts | closed |')"""
+
+
+def index_pages(spark, sf):
+    number = F.col("o_custkey") % 20
+    kept = b.table(spark, sf, "orders").where((number >= 10) | (F.col("o_orderkey") % 4 == 0))
+    return kept.select(F.concat(F.lit("src"), number.cast("string")).alias("repo_id"), "o_orderkey", F.expr(INDEX_PAGE).alias("text"))
+
+
+@query(
+    "s5_rejected_lines",
+    sql(
+        """SELECT repo_id, o_orderkey, unnest(CASE WHEN n % 5 = 2 AND o_orderkey % 11 = 0 THEN [{'line': '| lonely |', 'reason': 'fewer than two columns'}] ELSE [] END
+             || [{'line': '| /etc/f' || o_orderkey % 3 || ' | Out |', 'reason': 'path leaves the root'}, {'line': '| src/x.ts | closed |', 'reason': 'section names no chunk'}], recursive := true)
+           FROM index_pages""",
+        "index_pages",
+    ),
+)
+def rejected_lines(spark, sf):
+    return a.rejected_lines(index_pages(spark, sf), ["repo_id", "o_orderkey"]).select("repo_id", "o_orderkey", "line", "reason")
+
+
+@query(
+    "s5_parted_index",
+    sql(
+        """SELECT repo_id, o_orderkey, unnest(['docs/a' || o_orderkey % (3 + n % 4) || '.md', 'src/f' || o_orderkey || '.ts']) AS path, false AS rejected FROM index_pages
+           UNION ALL SELECT repo_id, o_orderkey, unnest(['/etc/f' || o_orderkey % 3, 'src/x.ts'] || CASE WHEN n % 5 = 2 AND o_orderkey % 11 = 0 THEN ['lonely'] ELSE [] END), true
+           FROM index_pages""",
+        "index_pages",
+    ),
+)
+def parted_index(spark, sf):
+    """Rows and rejected lines written in one pass to folders of their own, and read back from each."""
+    out = scratch(spark, "index")
+    sinks.write_parted(a.index_lines(index_pages(spark, sf), ["repo_id", "o_orderkey"]), F.col("reason").isNotNull(), "rejected", out)
+    both = [sinks.read_parted(spark, out, "rejected", flag).withColumn("rejected", F.lit(flag)) for flag in (False, True)]
+    return both[0].unionByName(both[1]).select("repo_id", "o_orderkey", "path", "rejected")
+
+
 RELATIONS["health"] = (
-    ("hashed", "hashed_next", "totals", "costed", "log_index", "loads", "mods"),
-    f"""SELECT repo_id, 'error' AS severity, 'SESSION_STATE_INVALID' AS code FROM (SELECT DISTINCT source AS repo_id, n_chars FROM documents) GROUP BY 1 HAVING min(n_chars) < 20
-        UNION ALL SELECT * FROM (SELECT DISTINCT repo_id, 'warning', 'STALE_INDEX_ENTRIES' FROM (SELECT * FROM hashed ANTI JOIN hashed_next USING (repo_id, path))
-        UNION ALL SELECT repo_id, 'info', 'FILE_INDEX_LARGE' FROM files GROUP BY 1 HAVING count(*) > 500
-        UNION ALL SELECT repo_id, 'warning', 'ALWAYS_INCLUDE_CREEP' FROM files GROUP BY 1 HAVING count_if(lang = 'en') > 4
+    ("hashed", "hashed_next", "totals", "files", "index_pages"),
+    f"""SELECT repo_id, severity, code FROM (
+          SELECT *, bool_or(code = 'SESSION_STATE_INVALID') OVER (PARTITION BY repo_id) AS unread,
+            bool_or(code = 'FILE_INDEX_INVALID') OVER (PARTITION BY repo_id) AS unindexed FROM (
+        SELECT source AS repo_id, 'error' AS severity, 'SESSION_STATE_INVALID' AS code FROM documents GROUP BY 1 HAVING min(n_chars) < 20
+        UNION ALL SELECT DISTINCT repo_id, 'error', 'FILE_INDEX_INVALID' FROM index_pages WHERE n % 5 = 2 AND o_orderkey % 11 = 0
+        UNION ALL SELECT DISTINCT repo_id, 'warning', 'STALE_INDEX_ENTRIES' FROM (SELECT * FROM hashed ANTI JOIN hashed_next USING (repo_id, path))
+        UNION ALL SELECT repo_id, 'warning', 'MISSING_CHUNK_FILES' FROM index_pages WHERE o_orderkey % 6 + 1 > 3 + n % 4 GROUP BY 1
+        UNION ALL SELECT repo_id, 'info', 'FILE_INDEX_LARGE' FROM index_pages GROUP BY 1 HAVING count(DISTINCT o_orderkey) + count(DISTINCT o_orderkey % (3 + n % 4)) > 500
+        UNION ALL SELECT repo_id, 'warning', 'ALWAYS_INCLUDE_CREEP' FROM index_pages GROUP BY 1 HAVING count(DISTINCT o_orderkey % (3 + n % 4)) > 4
         UNION ALL SELECT repo_id, 'warning', 'BUDGET_EXCEEDED' FROM totals WHERE total_tokens - always_include > 4000
         UNION ALL SELECT DISTINCT repo_id, 'warning', 'AI_INDEX_STALE' FROM hashed LEFT JOIN hashed_next n USING (repo_id, path) WHERE n.hash IS DISTINCT FROM hashed.hash
-        UNION ALL SELECT repo_id, 'error', 'PLAN_MISSING' FROM files GROUP BY 1 HAVING count(*) % 2 = 0
-        UNION ALL SELECT repo_id, 'info', 'ALL_TASKS_DONE' FROM files GROUP BY 1 HAVING count(*) % 3 = 0
+        UNION ALL SELECT DISTINCT repo_id, 'error', 'PLAN_MISSING' FROM files WHERE CAST(substr(repo_id, 4) AS INTEGER) % 2 = 0
+        UNION ALL SELECT DISTINCT repo_id, 'info', 'ALL_TASKS_DONE' FROM files WHERE CAST(substr(repo_id, 4) AS INTEGER) % 3 = 0
         UNION ALL SELECT repo_id, 'info', 'SESSION_STALE' FROM files GROUP BY 1
-        UNION ALL SELECT repo_id, 'warning', 'PROMPT_TOO_LONG' FROM (SELECT repo_id, max(len(list_filter(string_split(text, chr(10)), lambda l: l <> ''))) AS lines, max(length(text)) AS chars FROM files GROUP BY 1) WHERE lines > 20
-        UNION ALL SELECT repo_id, 'warning', 'PROMPT_TOO_LONG' FROM (SELECT repo_id, max(length(text)) AS chars FROM files GROUP BY 1) WHERE chars > 12000)
-        WHERE repo_id NOT IN (SELECT source FROM documents WHERE n_chars < 20)""",
+        UNION ALL SELECT DISTINCT repo_id, 'warning', 'PROMPT_MISSING' FROM files WHERE CAST(substr(repo_id, 4) AS INTEGER) % 7 = 1
+        UNION ALL SELECT repo_id, 'warning', 'PROMPT_TOO_LONG' FROM (SELECT repo_id, max(len(list_filter(string_split(text, chr(10)), lambda l: l <> ''))) AS lines, max(length(text)) AS chars FROM files GROUP BY 1)
+          WHERE lines > 20 AND CAST(substr(repo_id, 4) AS INTEGER) % 7 <> 1
+        UNION ALL SELECT repo_id, 'warning', 'PROMPT_TOO_LONG' FROM (SELECT repo_id, max(length(text)) AS chars FROM files GROUP BY 1)
+          WHERE chars > 12000 AND CAST(substr(repo_id, 4) AS INTEGER) % 7 <> 1))
+        WHERE (NOT unread OR code = 'SESSION_STATE_INVALID') AND NOT (unindexed AND code IN
+          ('STALE_INDEX_ENTRIES', 'MISSING_CHUNK_FILES', 'FILE_INDEX_LARGE', 'ALWAYS_INCLUDE_CREEP', 'BUDGET_EXCEEDED', 'ALL_TASKS_DONE'))""",
 )
 
 
 def health_findings(spark, sf):
     files = b.files(spark, sf)
-    per_repo = files.groupBy("repo_id").agg(F.count("*").alias("n"))
+    repos = files.select("repo_id").distinct().withColumn("n", F.substring("repo_id", 4, 9).cast("int"))
     lengths = b.table(spark, sf, "documents").select(F.col("source").alias("repo_id"), "n_chars")
     unread = lengths.withColumn("error", F.when(F.col("n_chars") < 20, "empty"))
-    states = per_repo.select("repo_id", (F.col("n") % 2).alias("active_chunk"), F.to_timestamp(F.lit("1999-01-01")).alias("last_updated"))
-    plans_present = per_repo.select("repo_id", F.lit(1).cast("long").alias("chunk_id"))
-    active = per_repo.select("repo_id", F.when(F.col("n") % 3 == 0, F.col("repo_id")).alias("chunk_id"))
-    complete = per_repo.select(F.col("repo_id").alias("chunk_id"))
-    sizes = files.groupBy("repo_id").agg(
+    states = repos.select("repo_id", (F.col("n") % 2).alias("active_chunk"), F.to_timestamp(F.lit("1999-01-01")).alias("last_updated"))
+    plans_present = repos.select("repo_id", F.lit(1).alias("chunk_id"))
+    active = repos.select("repo_id", F.when(F.col("n") % 3 == 0, F.col("repo_id")).alias("chunk_id"))
+    complete = repos.select(F.col("repo_id").alias("chunk_id"))
+    sizes = files.where(F.substring("repo_id", 4, 9).cast("int") % 7 != 1).groupBy("repo_id").agg(
         F.max(F.size(F.filter(F.split("text", "\n", -1), lambda l: l != ""))).alias("lines"), F.max(F.length("text")).alias("chars")
     )
-    entries = files.withColumn("always_include", F.col("path").startswith("docs/en/"))
+    pages = index_pages(spark, sf)
+    entries = a.index_entries(pages, ["repo_id"])
+    chunks = repos.select("repo_id", F.explode(F.sequence(F.lit(1), F.col("n") % 4 + 3).cast("array<decimal(10,3)>")).alias("chunk_id"))
+    tagged = entries.select("repo_id", F.explode("chunk_tags").alias("chunk_id")).where("chunk_id <> 0").distinct()
+    broken = a.invalid_indexes(a.rejected_lines(pages, ["repo_id"]), ["repo_id"])
     before, after = evidence_queries.hashed(files), evidence_queries.hashed(b.files_next(spark, sf))
     return health.audit(
         health.invalid_sources(unread, "SESSION_STATE_INVALID", "session state"),
+        health.invalid_sources(broken, "FILE_INDEX_INVALID", "file index"),
         health.missing_plans(states, plans_present),
         health.stale_entries(drift.stale_entries(before, after)),
-        health.index_size(entries),
+        health.missing_chunk_files(tagged.join(chunks, ["repo_id", "chunk_id"], "left_anti")),
+        health.index_size(entries.withColumn("always_include", F.array_contains("chunk_tags", F.lit(0).cast("decimal(10,3)")))),
         health.over_budget(budget.budgets(budget_queries.items(spark, sf)), 4000),
         health.finished_chunks(active, complete),
-        health.prompt_sizes(per_repo.select("repo_id", F.lit(20).alias("max_lines")), sizes),
+        health.prompt_sizes(repos.select("repo_id", F.lit(20).alias("max_lines")), sizes),
         health.stale_sessions(states, F.to_timestamp(F.lit(AS_OF))),
         health.stale_code_index(drift.freshness(before, after)),
     )
@@ -493,11 +555,13 @@ def _health_rule(rule: str, code: str):
 for _rule, _code in (
     ("h1", "SESSION_STATE_INVALID"),
     ("h2", "PLAN_MISSING"),
+    ("h3", "FILE_INDEX_INVALID"),
     ("h4", "STALE_INDEX_ENTRIES"),
     ("h6", "FILE_INDEX_LARGE"),
     ("h7", "ALWAYS_INCLUDE_CREEP"),
     ("h8", "BUDGET_EXCEEDED"),
     ("h9", "ALL_TASKS_DONE"),
+    ("h10", "PROMPT_MISSING"),
     ("h10", "PROMPT_TOO_LONG"),
     ("h11", "SESSION_STALE"),
     ("h12", "AI_INDEX_STALE"),
@@ -505,16 +569,6 @@ for _rule, _code in (
     _health_rule(_rule, _code)
 
 
-@query(
-    "h3_file_index_invalid",
-    "SELECT DISTINCT 'repo-' || o_custkey AS repo_id, 'error' AS severity FROM orders WHERE o_custkey % 7 = 0",
-)
-def file_index_invalid(spark, sf):
-    states = a.session_states(_orders(spark, sf, STATE), ["o_custkey"])
-    rows = states.select(F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo_id"), "error")
-    return health.invalid_sources(rows, "FILE_INDEX_INVALID", "file index").select("repo_id", "severity")
-
-
 @query(
     "h5_missing_chunk_files",
     sql(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetledger.operators.evidence import finding
 
@@ -19,7 +19,8 @@ def _say(rows: DataFrame, *parts) -> DataFrame:
 
 
 def invalid_sources(rows: DataFrame, code: str, what: str) -> DataFrame:
-    """An error per repository whose state or index could not be read; ``rows`` has ``repo_id, error``."""
+    """An error per repository whose state or index could not be read; ``rows`` has ``repo_id, error``, null where all
+    is well."""
     broken = rows.where("error IS NOT NULL").select("repo_id").distinct()
     return finding(_say(broken, f"{what} is unreadable or malformed"), "error", code)
 
@@ -101,9 +102,24 @@ def stale_code_index(freshness: DataFrame) -> DataFrame:
     return finding(_say(behind, "code index is behind ", F.col("n"), " files"), "warning", "AI_INDEX_STALE")
 
 
+#: Rules that need a readable file index.
+INDEX_CODES = (
+    "STALE_INDEX_ENTRIES",
+    "MISSING_CHUNK_FILES",
+    "FILE_INDEX_LARGE",
+    "ALWAYS_INCLUDE_CREEP",
+    "BUDGET_EXCEEDED",
+    "ALL_TASKS_DONE",
+)
+
+
 def audit(*rules: DataFrame) -> DataFrame:
-    """All findings; a repository whose session state is unreadable keeps only that finding."""
+    """All findings. A repository whose session state is unreadable keeps only that finding; one whose file index is
+    invalid keeps no finding that the index would have been needed for."""
     every = reduce(DataFrame.unionByName, rules)
-    unreadable = every.where("code = 'SESSION_STATE_INVALID'").select("repo_id").distinct()
-    kept = every.where("code <> 'SESSION_STATE_INVALID'").join(unreadable, "repo_id", "left_anti")
-    return kept.unionByName(every.where("code = 'SESSION_STATE_INVALID'"))
+    repository = Window.partitionBy("repo_id")  # a few findings each
+    only = F.max(F.when(F.col("code") == "SESSION_STATE_INVALID", F.col("code"))).over(repository)
+    unindexed = F.max(F.col("code") == "FILE_INDEX_INVALID").over(repository)
+    marked = every.withColumn("__only", only).withColumn("__unindexed", unindexed)
+    alone = F.col("__only").isNull() | (F.col("code") == F.col("__only"))
+    return marked.where(alone & ~(F.col("__unindexed") & F.col("code").isin(*INDEX_CODES))).drop("__only", "__unindexed")

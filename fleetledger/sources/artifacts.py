@@ -92,22 +92,29 @@ def session_states(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def index_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, path, purpose, tag, position`` of a file index's table rows.
+#: Why a table line of a file index gives no row. Only malformed lines make the index invalid.
+MALFORMED, OUTSIDE, CLOSED = "fewer than two columns", "path leaves the root", "section names no chunk"
+
+
+def index_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Every table line of a file index, parsed once: ``keys, path, purpose, tag, position, line, reason``.
 
-    A level-two heading opens its chunk's section, or closes the current one when it names no chunk.
+    A level-two heading opens its chunk's section, or closes the current one when it names no chunk. ``reason`` is null
+    for a row and says of any other line why it gives none; ``position`` is the section and the line in it. A writer that
+    partitions by ``reason IS NULL`` sends rows and rejected lines to their own folders in the same pass.
     """
     heading = F.regexp_extract(F.col("section"), r"(?md)\A[ \t]*##[ \t]+(.*)$", 1)
     chunk = F.regexp_extract(heading, r"^Chunk\s+(\d+(?:\.\d+)?)(?:\s|$)", 1)
     tag = F.when(heading.rlike(r"^Always\s+Include\s*$"), F.lit("0")).otherwise(F.nullif(chunk, F.lit("")))
     sections = unnest(texts, keys, F.split("text", r"(?md)(?=^[ \t]*##[ \t]+\S)", -1), ["section_no", "section"])
     tagged = sections.select(*keys, "section_no", tag.try_cast("decimal(10,3)").alias("tag"), "section")
-    lines = unnest(
-        tagged.where("tag IS NOT NULL"), [*keys, "section_no", "tag"], lines_of(F.col("section")), ["line_no", "line"]
-    )
+    lines = unnest(tagged, [*keys, "section_no", "tag"], lines_of(F.col("section")), ["line_no", "line"])
     line = trim(F.col("line"))
     meta = line.rlike(r"^\|\s*-+\s*\|\s*-+\s*\|$|^\|\s*File\s*\|\s*Purpose\s*\|$")
     cells = F.filter(F.transform(F.split(line, r"\|", -1), trim), lambda c: c != "")
+    reason = (
+        F.when(F.col("tag").isNull(), CLOSED).when(F.col("purpose").isNull(), MALFORMED).when(leaves_root(F.col("path")), OUTSIDE)
+    )
     return (
         lines.where(line.startswith("|") & ~meta)
         .withColumn("cells", cells)
@@ -117,11 +124,29 @@ def index_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
             F.get("cells", F.lit(1)).alias("purpose"),
             "tag",
             F.struct("section_no", "line_no").alias("position"),
+            "line",
         )
-        .where(F.col("purpose").isNotNull() & ~leaves_root(F.col("path")))
+        .withColumn("reason", reason)
     )
 
 
+def index_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, path, purpose, tag, position`` of a file index's table rows."""
+    return index_lines(texts, keys).where("reason IS NULL").drop("line", "reason")
+
+
+def rejected_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, position, line, reason`` of the table lines that give no row."""
+    return index_lines(texts, keys).where("reason IS NOT NULL").select(*keys, "position", "line", "reason")
+
+
+def invalid_indexes(rejected: DataFrame, keys: list[str]) -> DataFrame:
+    """The first malformed line of each index that has one, as ``keys, error``."""
+    first = F.min(F.struct("position.section_no", "position.line_no", "line")).alias("first")
+    worst = rejected.where(F.col("reason") == MALFORMED).groupBy(*keys).agg(first)
+    return worst.select(*keys, F.concat(F.lit(f"{MALFORMED}: "), F.trim("first.line")).alias("error"))
+
+
 def index_entries(texts: DataFrame, keys: list[str]) -> DataFrame:
     """One entry per path of a file index: first purpose, distinct tags in order."""
     return index_rows(texts, keys).groupBy(*keys, "path").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetledger.operators.ordered import ordinal
 
@@ -59,6 +59,16 @@ def write_relation(relation: DataFrame, path: str) -> None:
     (writer.partitionBy("repo_id") if "repo_id" in relation.columns else writer).parquet(path)
 
 
+def write_parted(rows: DataFrame, flag: Column, name: str, path: str) -> None:
+    """Rows in one pass, those with and without a flag in folders of their own."""
+    rows.withColumn(name, flag).write.mode("overwrite").partitionBy(name).parquet(path)
+
+
+def read_parted(spark: SparkSession, path: str, name: str, flag: bool) -> DataFrame:
+    """One side of what :func:`write_parted` wrote; the other side's files are not opened."""
+    return spark.read.parquet(path).where(F.col(name).cast("boolean") == flag).drop(name)
+
+
 def benchmark_report(results: DataFrame) -> DataFrame:
     """One JSON report line per target."""
     return results.select(F.to_json(F.struct(*sorted(results.columns))).alias("value"))
