@@ -22,7 +22,7 @@ from fleetledger.operators import fileindex
 from fleetledger.plans import extensions
 from fleetledger.sources import artifacts as a
 from fleetledger.sources import bindings as b
-from fleetledger.sources import sinks
+from fleetledger.sources import sinks, trees
 from fleetledger.streaming import jobs, late
 
 NL = "chr(10)"
@@ -311,6 +311,46 @@ def workspace_packages(spark, sf):
     return inventory.package_names(packages, manifests).select("repo_id", "directory", "name")
 
 
+# Trees of files --------------------------------------------------------------
+
+RELATIONS["tree_files"] = (
+    ("files",),
+    """SELECT repo_id || '/' || path AS path, text FROM files
+       UNION ALL SELECT repo_id || '/pkg/node_modules/' || path, text FROM files WHERE doc_id % 3 = 0
+       UNION ALL SELECT repo_id || '/' || substr(path, 1, 4) || '/dist/' || doc_id || ' + 50%.js', text FROM files WHERE doc_id % 5 = 0""",
+)
+
+
+def written_tree(spark, sf):
+    """The repositories' files as a tree, with further ones in ignored folders at two depths."""
+    files = b.files(spark, sf).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"))
+    own = F.concat_ws("/", "repo_id", "path")
+    module = F.concat_ws("/", "repo_id", F.lit("pkg/node_modules"), "path")
+    built = F.concat("repo_id", F.lit("/"), F.substring("path", 1, 4), F.lit("/dist/"), "doc_id", F.lit(" + 50%.js"))
+    rows = files.select(own.alias("path"), "text")
+    rows = rows.unionByName(files.where("doc_id % 3 = 0").select(module.alias("path"), "text"))
+    rows = rows.unionByName(files.where("doc_id % 5 = 0").select(built.alias("path"), "text"))
+    root = scratch(spark, "tree")
+    trees.write_tree(rows, root)
+    return root
+
+
+@query("s1_listed_tree", sql("SELECT repo_id || '/' || path AS path, size_bytes FROM files", "files"))
+def listed_tree(spark, sf):
+    return trees.list_tree(spark, written_tree(spark, sf), scratch(spark, "levels"))
+
+
+@query("s1_full_inventory", sql("SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM tree_files", "tree_files"))
+def full_inventory(spark, sf):
+    return trees.read_inventory(spark, written_tree(spark, sf))
+
+
+@query("s2_read_tree", sql("SELECT path, sha256(text) AS digest FROM tree_files", "tree_files"))
+def read_tree(spark, sf):
+    texts = trees.read_texts(spark, written_tree(spark, sf))
+    return texts.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
 # Index entries --------------------------------------------------------------
 
 RELATIONS["index_tags"] = (
@@ -389,7 +429,7 @@ def index_sections(spark, sf):
     """SELECT repo_id, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY repo_id ORDER BY o_orderkey) / 500) AS BIGINT) AS page
        FROM (SELECT 'repo-' || o_custkey % 20 AS repo_id, o_orderkey FROM orders)""",
 )
-def index_pages(spark, sf):
+def index_pages_of(spark, sf):
     rows = b.chunks(spark, sf).select("repo_id", F.col("chunk_id").alias("o_orderkey"))
     paged = sinks.paged(rows, [F.col("o_orderkey")], F.floor(F.col("o_orderkey") / 5000))
     return paged.select("repo_id", "o_orderkey", "page")
@@ -421,6 +461,68 @@ def parquet_round_trip(spark, sf):
     return spark.read.schema("path STRING, size_bytes BIGINT, repo_id STRING").parquet(path)
 
 
+@query(
+    "k1_index_text",
+    sql(
+        """SELECT repo_id, '| ' || path || ' | ' || p.purpose || ' |' AS line FROM index_tags JOIN (
+             SELECT repo_id, path, max(purpose) AS purpose FROM index_tags GROUP BY ALL) p USING (repo_id, path)
+           UNION ALL SELECT repo_id, unnest([CASE WHEN tag = 0 THEN '## Always Include' ELSE '## Chunk ' || CAST(tag AS INTEGER) END, '', '| File | Purpose |', '|---|---|'])
+           FROM (SELECT DISTINCT repo_id, tag FROM index_tags)""",
+        "index_tags",
+    ),
+)
+def index_text(spark, sf):
+    """The index written as text files, a folder a repository, and read back line by line."""
+    path = scratch(spark, "index-text")
+    sinks.write_index_text(index_entries(spark, sf), path)
+    return spark.read.text(path).select("repo_id", F.col("value").alias("line"))
+
+
+@query(
+    "k1_round_trip",
+    sql(
+        """SELECT repo_id, path, max(purpose) AS purpose, string_agg(DISTINCT CAST(tag AS VARCHAR), ',' ORDER BY CAST(tag AS VARCHAR)) AS tags
+           FROM (SELECT repo_id, path, tag, max(purpose) OVER (PARTITION BY repo_id, path) AS purpose FROM index_tags) GROUP BY 1, 2""",
+        "index_tags",
+    ),
+)
+def index_round_trip(spark, sf):
+    """The written pages of each index parsed again."""
+    path = scratch(spark, "index-text")
+    sinks.write_index_text(index_entries(spark, sf), path)
+    texts = sinks.read_index_text(spark, path)
+    parsed = a.index_entries(texts, ["repo_id"])
+    tags = F.array_join(F.transform("chunk_tags", lambda t: t.cast("string")), ",")
+    return parsed.select("repo_id", "path", "purpose", tags.alias("tags"))
+
+
+@query(
+    "k2_written_pages",
+    """SELECT repo_id, page, count(*) AS entries, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (
+         SELECT repo_id, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY repo_id ORDER BY o_orderkey) / 500) AS BIGINT) AS page
+         FROM (SELECT 'repo-' || o_custkey % 20 AS repo_id, o_orderkey FROM orders)) GROUP BY ALL""",
+)
+def written_pages(spark, sf):
+    path = scratch(spark, "pages")
+    sinks.write_pages(index_pages_of(spark, sf), path)
+    pages = spark.read.schema("o_orderkey BIGINT, repo_id STRING, page BIGINT").parquet(path)
+    return pages.groupBy("repo_id", "page").agg(
+        F.count("*").alias("entries"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
+    )
+
+
+@query(
+    "k8_written_report",
+    sql("SELECT * REPLACE (round(percent_saved, 6) AS percent_saved) FROM saved", "saved"),
+)
+def written_report(spark, sf):
+    """The report file read back as JSON, every field of it."""
+    saved = budget_queries.savings(spark, sf)
+    path = scratch(spark, "report")
+    sinks.write_report(saved, path)
+    return spark.read.schema(saved.schema).json(path).select(saved.columns)
+
+
 # Health ---------------------------------------------------------------------
 
 AS_OF = "2000-01-01 00:00:00"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetledger.functions.binding import let, unnest
 from fleetledger.functions.text import lines_of, ratio
-from fleetledger.operators.ordered import ordinal, running_total_before
+from fleetledger.operators.ordered import running_total_before
 
 WORD = r"[A-Za-z0-9]+"
 # Words of a marker, its first and last aside, that make up its anchor.
@@ -150,48 +152,73 @@ def variance_split(runs: DataFrame) -> DataFrame:
     )
 
 
+#: Tasks of one block of the resample, about so many, while blocks are no more than BLOCKS; then blocks grow. A task is
+#: four numbers, so that a block of a million is 32 MB.
+BLOCK_TASKS, BLOCKS = 1024, 1024
+_WORD = (1 << 64) - 1
+_SUMS = "draw int, block int, total double"
+_COUNTS = ("n_bootstrap", "k_bootstrap", "n_control", "k_control")
+
+
+def _block_picks(sizes: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """How many of a draw's picks fall on each block: as many picks as there are tasks, each task equally likely."""
+    random = np.random.Generator(np.random.Philox(key=[seed & _WORD, draw]))
+    return random.multinomial(int(sizes.sum()), sizes / sizes.sum())
+
+
+def _block_total(counts: np.ndarray, picks: int, draw: int, block: int, seed: int) -> float:
+    """Sum of the pass-rate differences of the tasks picked in a block; ``counts`` has the columns of ``_COUNTS``. A task
+    picked w times has its repeats resampled w times, which passes a binomial number of w x n of them."""
+    random = np.random.Generator(np.random.Philox(key=[seed & _WORD, draw], counter=[0, 0, 1, block]))
+    times = np.bincount(random.integers(0, len(counts), picks), minlength=len(counts))
+    n_b, k_b, n_c, k_c = counts[times > 0].T
+    times = times[times > 0]
+    return float((random.binomial(times * n_b, k_b / n_b) / n_b - random.binomial(times * n_c, k_c / n_c) / n_c).sum())
+
+
 def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """Interval of the pass-rate difference from a seeded two-level resample: tasks with replacement, then repeats within
-    each task and arm.
+    each task and arm. Tasks without runs in both arms are left out.
 
-    Runs are reduced to run and pass counts per task first. Tasks are numbered in the order of their hashes; a draw fills
-    as many slots as there are tasks, each with the task whose number a hash of (seed, draw, slot) names, and a repeat
-    counts as passed if the hash of (seed, draw, slot, arm, repeat) falls on one of the task's passes. Tasks without
-    runs in both arms are left out.
+    Runs are reduced to run and pass counts per task, and tasks are dealt to blocks by a hash. Picking tasks with
+    replacement is picking blocks by their sizes and then tasks within the block: each draw's picks are dealt to the
+    blocks first, and every block adds up its own part of every draw. So a block's tasks meet no others, one number
+    per draw and block is shuffled, and the result depends on the tasks and the seed alone, not on how rows are dealt.
+    The driver holds a size for each block.
     """
     counts = runs.groupBy("task").agg(
         *[F.count_if(F.col("arm") == arm).alias(f"n_{arm}") for arm in ("bootstrap", "control")],
         *[F.count_if((F.col("arm") == arm) & F.col("passed")).alias(f"k_{arm}") for arm in ("bootstrap", "control")],
     ).where("n_bootstrap > 0 AND n_control > 0")
-    hashed = counts.withColumn("hash", F.md5(F.col("task").cast("string"))).withColumn("all", F.lit(1))
-    numbered = ordinal(hashed, ["all"], [F.col("hash")], F.substring("hash", 1, 3), "number").drop("all", "hash")
-    tasks = counts.count()
-
-    def pick(among: Column, *parts: Column) -> Column:
-        text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-        return F.pmod(F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"), among)
-
-    def resampled_rate(arm: str) -> Column:
-        n, k = F.col(f"n_{arm}"), F.col(f"k_{arm}")
-        repeats = F.sequence(F.lit(1), n.cast("int"))
-        return F.size(F.filter(repeats, lambda i: pick(n, F.col("draw"), F.col("slot"), F.lit(arm), i) < k)) / n
-
-    slots = numbered.select(F.col("number").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    chosen = slots.withColumn("number", pick(F.lit(max(tasks, 1)), F.col("draw"), F.col("slot")) + 1)
-    per_draw = (
-        chosen.join(numbered, "number")
-        .groupBy("draw")
-        .agg(F.avg(resampled_rate("bootstrap") - resampled_rate("control")).alias("stat"))
-    )
-    tail = (1 - level) / 2
+    return _interval(counts, draws, seed, level)
+
+
+def _interval(counts: DataFrame, draws: int, seed: int, level: float) -> DataFrame:
     difference = F.col("k_bootstrap") / F.col("n_bootstrap") - F.col("k_control") / F.col("n_control")
-    estimate = counts.agg(F.avg(difference).alias("stat")).withColumn("drawn", F.lit(False))
-    drawn_stats = per_draw.select("stat", F.lit(True).alias("drawn"))
-    resampled = F.when(F.col("drawn"), F.col("stat"))
-    return drawn_stats.unionByName(estimate).agg(
-        F.max(F.when(~F.col("drawn"), F.col("stat"))).alias("estimate"),
-        F.percentile(resampled, tail).alias("lo"),
-        F.percentile(resampled, 1 - tail).alias("hi"),
+    whole = counts.agg(F.count("*").alias("tasks"), F.avg(difference).alias("estimate")).first()
+    blocks = min(BLOCKS, max(1, -(-whole.tasks // BLOCK_TASKS)))
+    dealt = counts.withColumn("block", F.pmod(F.xxhash64("task"), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, np.int64)
+    for r in dealt.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+
+    def totals(key: tuple[int], rows: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        rows = rows.sort_by("task")
+        held = np.stack([rows.column(c).to_numpy() for c in _COUNTS], 1)
+        sums = [_block_total(held, int(_block_picks(sizes, d, seed)[block]), d, block, seed) for d in range(1, draws + 1)]
+        return pa.table({"draw": pa.array(range(1, draws + 1), pa.int32()), "block": pa.array([block] * draws, pa.int32()), "total": sums})
+
+    per_block = dealt.select("block", F.col("task").cast("string").alias("task"), *_COUNTS).groupBy("block").applyInArrow(totals, _SUMS)
+    # sums of doubles in the blocks' order, so that the last digit does not depend on the shuffle
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "total"))), lambda x: x["total"])
+    stat = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x) / max(whole.tasks, 1)
+    per_draw = per_block.groupBy("draw").agg(stat.alias("stat"))
+    tail = (1 - level) / 2
+    return per_draw.agg(
+        F.lit(whole.estimate).cast("double").alias("estimate"),
+        F.percentile("stat", tail).alias("lo"),
+        F.percentile("stat", 1 - tail).alias("hi"),
     )
 
 

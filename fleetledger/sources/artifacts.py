@@ -1,12 +1,12 @@
 """Ingest of session artifacts: one text per row in, relation rows out.
 
 Every reader takes a DataFrame with the key columns named in ``keys`` and a ``text`` column, from
-``read_texts`` or any table. A text is parsed inside its row, so nothing is shuffled.
+``trees.read_texts`` or any table. A text is parsed inside its row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetledger.functions.binding import let, unnest
 from fleetledger.functions.paths import leaves_root
@@ -35,18 +35,6 @@ MANIFEST_KEYS = ("version", "generated_at", "active_chunk", "prompt_hash", "entr
 TRIM_SCHEMA = "exclusions ARRAY<STRUCT<filepath STRING, excluded_at STRING, reason STRING>>"
 
 
-def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, text`` of whole files under a directory."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-
-
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size_bytes`` of every file under a directory; contents are never read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", F.col("length").alias("size_bytes"))
-
-
 def _unquoted(value: Column) -> Column:
     quoted = value.rlike(r"""^(".*"|'.*')$""")
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)

@@ -36,13 +36,19 @@ def _plain(name: str) -> Column:
 
 
 def write_index_text(entries: DataFrame, path: str) -> None:
+    """The index as text, a folder a repository. A section is never cut: its files are pages in order, each beginning with
+    a heading, so each can be parsed alone."""
     sections = index_sections(entries)
-    ordered = sections.repartitionByRange("repo_id", "tag", "part", "sort_key").sortWithinPartitions(
-        "repo_id", "tag", "part", "sort_key"
-    )
+    ordered = sections.repartitionByRange("repo_id", "tag").sortWithinPartitions("repo_id", "tag", "part", "sort_key")
     ordered.select("repo_id", F.col("line").alias("value")).write.partitionBy("repo_id").mode("overwrite").text(path)
 
 
+def read_index_text(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_id, text`` of each page that :func:`write_index_text` wrote."""
+    pages = spark.read.text(path, wholetext=True)
+    return pages.select("repo_id", F.col("value").alias("text"))
+
+
 def paged(entries: DataFrame, order: list[Column], bucket: Column, rows_per_page: int = PAGE_ROWS) -> DataFrame:
     """Entries with the page each falls on, ``rows_per_page`` to a page, in order."""
     numbered = ordinal(entries, ["repo_id"], order, bucket, "row_no")
