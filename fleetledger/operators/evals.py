@@ -209,7 +209,9 @@ def _interval(counts: DataFrame, draws: int, seed: int, level: float) -> DataFra
         sums = [_block_total(held, int(_block_picks(sizes, d, seed)[block]), d, block, seed) for d in range(1, draws + 1)]
         return pa.table({"draw": pa.array(range(1, draws + 1), pa.int32()), "block": pa.array([block] * draws, pa.int32()), "total": sums})
 
-    per_block = dealt.select("block", F.col("task").cast("string").alias("task"), *_COUNTS).groupBy("block").applyInArrow(totals, _SUMS)
+    # few bytes and much work: a stated number of partitions, which adaptive execution leaves as they are
+    apart = dealt.select("block", F.col("task").cast("string").alias("task"), *_COUNTS).repartition(blocks, "block")
+    per_block = apart.groupBy("block").applyInArrow(totals, _SUMS)
     # sums of doubles in the blocks' order, so that the last digit does not depend on the shuffle
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "total"))), lambda x: x["total"])
     stat = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x) / max(whole.tasks, 1)
