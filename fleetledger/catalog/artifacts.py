@@ -246,6 +246,26 @@ def glob_imports(spark, sf):
     return a.glob_imports(globs, files, files.where("path = 'src/index.ts'"))
 
 
+@query(
+    "j25_many_globs",
+    sql(
+        r"""SELECT DISTINCT repo_id, path, 'src/**/*' || regexp_extract(path, '(\d)\.ts$', 1) || '.ts' AS glob FROM raw_paths
+            WHERE regexp_matches(path, '^src/(.*/)?[^/]*\d\.ts$') AND NOT regexp_matches(path, '^src/m\d+/')
+            UNION SELECT DISTINCT repo_id, path, regexp_extract(path, '^(src/m\d+/)', 1) || '**' FROM raw_paths WHERE regexp_matches(path, '^src/m\d+/')""".replace("\\\\", "\\"),
+        "raw_paths",
+    ),
+)
+def many_globs(spark, sf):
+    """A glob for each module folder first, then one for each last digit: many globs a repository, few of which a file meets."""
+    files = b.raw_paths(spark, sf).select("repo_id", "path").distinct()
+    module = F.regexp_extract("path", r"^(src/m\d+/)", 1)
+    modules = files.select("repo_id", module.alias("m")).where("m <> ''").distinct()
+    first = modules.select("repo_id", F.regexp_extract("m", r"(\d+)", 1).cast("int").alias("glob_no"), F.concat("m", F.lit("**")).alias("glob"))
+    digits = files.select("repo_id").distinct().select("repo_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
+    then = digits.select("repo_id", (F.col("d") + 1_000_000).alias("glob_no"), F.concat(F.lit("src/**/*"), "d", F.lit(".ts")).alias("glob"))
+    return a.glob_imports(first.unionByName(then), files, files.limit(0))
+
+
 @query(
     "s4_plan_file_ids",
     sql(
@@ -387,6 +407,32 @@ def always_include(spark, sf):
     return fileindex.always_include(index_entries(spark, sf)).select("repo_id", "path")
 
 
+@query(
+    "p20_for_chunk",
+    sql("SELECT DISTINCT repo_id, path FROM index_tags WHERE tag IN (0, 3)", "index_tags"),
+)
+def for_chunk(spark, sf):
+    return fileindex.for_chunk(index_entries(spark, sf), 3).select("repo_id", "path")
+
+
+@query(
+    "p20_chunk_lookups",
+    sql(
+        """SELECT DISTINCT t.repo_id, w.chunk_id::INTEGER AS chunk_id, t.path, w.with_always FROM index_tags t
+           JOIN (SELECT 'repo-' || r AS repo_id, r % 6 AS chunk_id, a.with_always FROM range(20) x(r), (VALUES (true), (false)) a(with_always)) w
+             ON w.repo_id = t.repo_id AND (t.tag = w.chunk_id OR (w.with_always AND t.tag = 0))""",
+        "index_tags",
+    ),
+)
+def chunk_lookups(spark, sf):
+    """A lookup for each repository's active chunk, with and without its always-included files, from one posting table."""
+    postings = fileindex.chunk_postings(index_entries(spark, sf))
+    number = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int")
+    wanted = postings.select("repo_id").distinct().select("repo_id", (number % 6).alias("chunk_id"))
+    found = [fileindex.of_chunks(postings, wanted, flag).withColumn("with_always", F.lit(flag)) for flag in (True, False)]
+    return found[0].unionByName(found[1]).withColumn("chunk_id", F.col("chunk_id").cast("int"))
+
+
 @query(
     "u2_tag_union",
     sql("SELECT repo_id, path, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT repo_id, path, tag FROM index_tags) GROUP BY ALL", "index_tags"),

@@ -220,6 +220,10 @@ def exports(spark, sf):
     return code_units(spark, sf).select(
         "repo_id", "path", F.col("unit_id").alias("name"), F.when(F.col("exported"), "public").otherwise("private").alias("surface"),
         F.concat(F.lit("fn "), "unit_id").alias("signature"), F.when(F.col("start") % 4 == 0, F.col("hash")).otherwise("").alias("summary"),
+        F.array(
+            F.concat(F.lit("@ai-layer="), (F.col("start") % 3).cast("string")),
+            F.concat(F.lit("@ai-owner="), (F.col("start") % 50).cast("string")),
+        ).alias("tags"),
     )
 
 
@@ -382,6 +386,45 @@ def index_by_layer(spark, sf):
     return code_files(spark, sf).where("layer_default = 2").select("repo_id", "path")
 
 
+@query(
+    "p21_index_by_tag",
+    sql(
+        """SELECT DISTINCT u.repo_id, '@ai-owner=' || partkey % 50 AS tag, u.path, f.layer_default FROM units u JOIN code_files f USING (repo_id, path)
+           WHERE partkey % 50 IN (7, 11) UNION SELECT DISTINCT u.repo_id, '@ai-layer=2', u.path, f.layer_default
+           FROM units u JOIN code_files f USING (repo_id, path) WHERE partkey % 3 = 2""",
+        "units",
+        "code_files",
+    ),
+)
+def index_by_tag(spark, sf):
+    """Files by the tag of any of their exports, three tags looked up in every repository at once."""
+    files, postings = code_files(spark, sf), units.tag_postings(exports(spark, sf))
+    tags = F.array(*map(F.lit, ("@ai-owner=7", "@ai-owner=11", "@ai-layer=2")))
+    wanted = files.select("repo_id").distinct().select("repo_id", F.explode(tags).alias("tag"))
+    return units.files_by_tag(files, postings, wanted).select("repo_id", "tag", "path", "layer_default")
+
+
+@query(
+    "p21_index_by_chunk",
+    sql(
+        """SELECT DISTINCT f.repo_id, i.chunk_id, f.path, f.layer_default FROM code_files f
+           JOIN (SELECT o_orderpriority AS repo_id, 'src/s' || l_suppkey || '.ts' AS path, CAST(l_linenumber AS INTEGER) AS chunk_id
+                 FROM lineitem JOIN orders ON o_orderkey = l_orderkey) i USING (repo_id, path) WHERE i.chunk_id IN (2, 5)""",
+        "code_files",
+    ),
+)
+def index_by_chunk(spark, sf):
+    """The indexed files of two chunks of every repository, by the chunk tags of its file index."""
+    from fleetledger.operators import fileindex
+
+    tagged = _lines(spark, sf).groupBy("repo_id", _path("l_suppkey").alias("path"))
+    entries = tagged.agg(F.collect_set(F.col("l_linenumber").cast("decimal(10,3)")).alias("chunk_tags"))
+    postings = fileindex.chunk_postings(entries)
+    wanted = entries.select("repo_id").distinct().select("repo_id", F.explode(F.array(F.lit(2), F.lit(5))).alias("chunk_id"))
+    found = units.files_by_chunk(code_files(spark, sf), fileindex.of_chunks(postings, wanted))
+    return found.select("repo_id", F.col("chunk_id").cast("int").alias("chunk_id"), "path", "layer_default")
+
+
 def manifest(spark, sf):
     from fleetledger.operators import prompts
 

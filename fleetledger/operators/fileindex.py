@@ -19,6 +19,24 @@ def for_chunk(entries: DataFrame, chunk_id) -> DataFrame:
     return entries.where(F.arrays_overlap("chunk_tags", wanted))
 
 
+def chunk_postings(entries: DataFrame) -> DataFrame:
+    """``repo_id, chunk_id, path``: the files of each chunk, 0 being the always-included ones. Built once, written by
+    ``sinks.write_relation`` if need be, and met by any number of lookups."""
+    return entries.select("repo_id", F.explode(F.array_distinct("chunk_tags")).alias("chunk_id"), "path")
+
+
+def of_chunks(postings: DataFrame, wanted: DataFrame, with_always: bool = False) -> DataFrame:
+    """``repo_id, chunk_id, path`` of the wanted ``repo_id, chunk_id``, each with its repository's always-included files if
+    asked for; a path is there once for each chunk."""
+    key = ["repo_id", "chunk_id"]
+    asked = wanted.select("repo_id", F.col("chunk_id").cast("decimal(10,3)").alias("chunk_id")).distinct()
+    if not with_always:
+        return postings.join(asked, key, "left_semi").select(*key, "path")
+    always = F.lit(0).cast("decimal(10,3)")
+    sought = asked.select("repo_id", F.col("chunk_id").alias("for_chunk"), F.explode(F.array_distinct(F.array("chunk_id", always))).alias("chunk_id"))
+    return postings.join(sought, key).select("repo_id", F.col("for_chunk").alias("chunk_id"), "path").distinct()
+
+
 def upsert(entries: DataFrame, incoming: DataFrame, keep_purpose: bool = False) -> DataFrame:
     """Entries with the incoming tags merged in; adding replaces the purpose, tagging keeps it."""
     key = ["repo_id", "path"]

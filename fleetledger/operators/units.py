@@ -205,6 +205,22 @@ def _quoted(summary: Column) -> Column:
     return F.concat(F.lit("quoted: "), F.to_json(F.array(summary)).substr(F.lit(2), F.length(F.to_json(F.array(summary))) - 2))
 
 
+def tag_postings(exports: DataFrame) -> DataFrame:
+    """``repo_id, tag, path``: the files of which any export bears a tag."""
+    return exports.select("repo_id", F.explode("tags").alias("tag"), "path").distinct()
+
+
+def files_by_tag(files: DataFrame, postings: DataFrame, tags: DataFrame) -> DataFrame:
+    """The indexed files with any export of each wanted ``repo_id, tag``, and that tag."""
+    named = postings.join(tags.select("repo_id", "tag").distinct(), ["repo_id", "tag"], "left_semi")
+    return named.join(files, ["repo_id", "path"])
+
+
+def files_by_chunk(files: DataFrame, chunk_files: DataFrame) -> DataFrame:
+    """The indexed files among the files of chunks (``repo_id, chunk_id, path``), with their chunk."""
+    return chunk_files.select("repo_id", "chunk_id", "path").join(files, ["repo_id", "path"])
+
+
 def rendered_layers(files: DataFrame, exports: DataFrame) -> DataFrame:
     """Layer 0 (names) and layer 1 (signatures) text of each file. Symbols of one file are gathered."""
     public = exports.where("surface = 'public'").groupBy("repo_id", "path").agg(

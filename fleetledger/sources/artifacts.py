@@ -222,19 +222,42 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), plain, F.lit("$"))
 
 
+def _glob_anchor(glob: Column) -> tuple[Column, Column]:
+    """What every path that a glob matches has in common with it: the folders before the first wildcard, and the basename
+    if it has none, else the extension after the last one."""
+    plain = F.replace(glob, F.lit("\\"), F.lit("/"))
+    folders = F.regexp_extract(plain, r"^((?:[^*?/]*/)*)", 1)
+    last = F.regexp_extract(plain, r"([^/]*)$", 1)
+    extension = F.regexp_extract(last, r"[*?][^*?]*?(\.[^.*?]+)$", 1)
+    return folders, F.when(last.rlike(r"[*?]") | (last == ""), extension).otherwise(F.concat(F.lit("/"), last))
+
+
 def glob_imports(globs: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
     """Files a repository's globs match that its index lacks, with the first glob that matched.
 
-    A repository's globs arrive as one array, so the join adds no rows per glob.
+    A file meets only globs that share its folders up to their first wildcard and its basename or extension: an equi-join
+    on what the paths have in common, which spreads a repository over as many tasks as it has such keys. What meets is
+    tested in the order of the expressions, so that each is compiled once a task and not once a row.
     """
-    listed = globs.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("glob_no", glob_regex(F.col("glob")).alias("regex"), "glob"))).alias("globs")
+    folders, tail = _glob_anchor(F.col("glob"))
+    anchored = globs.select(
+        "repo_id", "glob_no", "glob", glob_regex(F.col("glob")).alias("regex"), folders.alias("folders"), tail.alias("tail")
     )
-    fresh = files.select("repo_id", "path").join(entries.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    first = F.get(F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"])), 0)
-    return fresh.join(listed, "repo_id").withColumn("hit", first).where("hit IS NOT NULL").select(
-        "repo_id", "path", F.col("hit.glob").alias("glob")
+    fresh = files.select("repo_id", "path").distinct().join(entries.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    parts = F.split("path", "/", -1)
+    above = let(
+        parts,
+        lambda p: F.transform(
+            F.sequence(F.lit(0), F.size(p) - 1), lambda n: F.array_join(F.concat(F.slice(p, F.lit(1), n), F.array(F.lit(""))), "/")
+        ),
     )
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    tails = F.array_distinct(F.array(F.lit(""), F.concat(F.lit("/"), name), F.regexp_extract(name, r"(\.[^.]+)$", 1)))
+    keyed = fresh.withColumn("tails", tails).select("repo_id", "path", F.explode(above).alias("folders"), "tails")
+    keyed = keyed.select("repo_id", "path", "folders", F.explode("tails").alias("tail"))
+    met = keyed.join(anchored, ["repo_id", "folders", "tail"]).sortWithinPartitions("regex")
+    hits = met.where(F.regexp_substr("path", F.col("regex")).isNotNull())
+    return hits.groupBy("repo_id", "path").agg(F.min_by("glob", "glob_no").alias("glob"))
 
 
 def frontmatter_errors(texts: DataFrame, keys: list[str], required: dict[str, str]) -> DataFrame:
@@ -280,32 +303,26 @@ def commit_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def status_records(exports: DataFrame, keys: list[str]) -> DataFrame:
-    """``code, path, from_path`` of NUL-separated status output; a rename takes the record after it."""
+#: A status record: two letters, a space and a path. A rename or copy takes the record after it along.
+_STATUS_RECORD = r"(?s)((?=[RC]|[^\x00][RC])[^\x00]{4,}(?:\x00[^\x00]*)?|[^\x00]+)(?:\x00|\z)"
 
-    def walk(acc: Column, record: Column) -> Column:
-        entry = F.struct(
-            F.substring(record, 1, 2).alias("code"),
-            F.substring(record, F.lit(4), F.length(record)).alias("path"),
-            F.lit(None).cast("string").alias("from_path"),
-        )
-        entries = acc["entries"]
-        last = F.get(entries, F.size(entries) - 1)
-        renamed = F.concat(
-            F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0))),
-            F.array(F.struct(last["code"].alias("code"), last["path"].alias("path"), record.alias("from_path"))),
-        )
-        opens = F.substring(record, 1, 2).rlike("[RC]")
-        return (
-            F.when(acc["pending"], F.struct(renamed.alias("entries"), F.lit(False).alias("pending")))
-            .when(F.length(record) < 4, acc)
-            .otherwise(F.struct(F.concat(entries, F.array(entry)).alias("entries"), opens.alias("pending")))
-        )
 
-    none = F.array().cast("array<struct<code:string,path:string,from_path:string>>")
-    records = F.split(F.regexp_replace("text", "\x00$", ""), "\x00", -1)
-    start = F.struct(none.alias("entries"), F.lit(False).alias("pending"))
-    return unnest(exports, keys, F.aggregate(records, start, walk, lambda acc: acc["entries"]))
+def status_records(exports: DataFrame, keys: list[str]) -> DataFrame:
+    """``code, path, from_path`` of NUL-separated status output; a rename takes the record after it.
+
+    One scan of the text takes out the records, each with the one it takes along, so the work is linear in the text.
+    """
+    found = F.regexp_extract_all(F.regexp_replace("text", "\x00$", ""), F.lit(_STATUS_RECORD), 1)
+    parts = F.transform(found, lambda r: F.split(r, "\x00", 2))
+    entries = F.transform(
+        F.filter(parts, lambda p: F.length(p[0]) >= 4),
+        lambda p: F.struct(
+            F.substring(p[0], 1, 2).alias("code"),
+            F.substring(p[0], F.lit(4), F.length(p[0])).alias("path"),
+            F.get(p, 1).alias("from_path"),
+        ),
+    )
+    return unnest(exports, keys, entries)
 
 
 def dirty_paths(lines: DataFrame, keys: list[str]) -> DataFrame:
