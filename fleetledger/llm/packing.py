@@ -22,8 +22,8 @@ from fleetledger.llm.common import Workspace, text_slices
 
 FULL = 2048
 END_ID = 1
-#: Chunks whose ids a worker remembers; it starts anew beyond.
-MEMORY = 200_000
+#: Bytes of chunks and ids that a worker remembers, about; it starts anew beyond.
+MEMORY = 48_000_000
 #: Rows that one numbering task sorts are about those of one of so many blocks a bucket.
 BLOCKS = 1 << 12
 
@@ -62,44 +62,51 @@ def _merging_encoder(path: str):
 
 
 class Encoder:
-    """Ids of whole texts as uint32 bytes. A text is cut before each space that a character other than white space
-    follows: the pattern of byte-level vocabularies always starts a new piece there, so the chunks' ids joined are the
-    text's. Chunks repeat, and each is encoded once while remembered. A text with other white space after a space is
-    encoded whole."""
+    """Ids of whole texts as uint32 bytes, those that the tokenizer at path gives as it is. A text is cut before each space
+    that a character other than white space follows: the pattern of byte-level vocabularies always starts a new piece
+    there, so the chunks' ids joined are the text's. Chunks repeat, and each is encoded once while remembered. A text with
+    other white space after a space is encoded whole and not remembered, and one that holds the string of a special token
+    is encoded by the tokenizer itself, which makes it that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merging = _merging_encoder(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def forget(self) -> None:
-        self.known = {}
+        self.known, self.held = {}, 0
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if self.merging:
-            for chunk in chunks:
-                self.known[chunk] = array("I", self.merging(chunk)).tobytes()
-            return
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for chunk, encoding in zip(chunks, found, strict=True):
-            self.known[chunk] = array("I", encoding.ids).tobytes()
+            return [array("I", self.merging(text)).tobytes() for text in texts]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", encoding.ids).tobytes() for encoding in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        for chunk, ids in zip(chunks, self._ids(chunks), strict=True):
+            self.known[chunk] = ids
+            self.held += len(ids) + 2 * len(chunk) + 200
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.forget()
-        cut = []
+        cut: list[list[str] | bytes] = []
         for text in texts:
+            if any(s in text for s in self.special):
+                cut.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
             chunks = text.split(" ")
             if "" in chunks[1:] or any(c[0].isspace() for c in chunks[1:]):
-                cut.append([text])
+                cut.append(self._ids([text])[0])
             else:
                 cut.append([*chunks[:1], *map(" ".__add__, chunks[1:])])
-        self._learn(list({c for chunks in cut for c in chunks}.difference(self.known)))
+        self._learn(list({c for chunks in cut if isinstance(chunks, list) for c in chunks}.difference(self.known)))
         known = self.known.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in cut]
+        return [chunks if isinstance(chunks, bytes) else b"".join(map(known, chunks)) for chunks in cut]
 
 
 @lru_cache(maxsize=1)
@@ -153,8 +160,8 @@ def pack(docs: DataFrame, work: Workspace, path: str, full: int = FULL, with_ids
     """Sequences of docs (doc_id, text; other columns play no part): a row per piece with doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset and, with_ids, the ids as little-endian unsigned 32-bit numbers.
 
-    The ids of a text are those of the tokenizer at path, and then END_ID; a null text is an empty one and has that id
-    alone. full must be a power of two. Every sequence holds one piece, so its offset is 0. sequence_id counts from 0
+    The ids of a text are those of the tokenizer at path as it stands, strings of its special tokens becoming those tokens,
+    and then END_ID; a null text is an empty one and has that id alone. full must be a power of two. Every sequence holds one piece, so its offset is 0. sequence_id counts from 0
     without gaps, bucket by bucket from the longest, within a bucket by blocks of documents. Repeated rows are packed
     again each; rows without id are packed alike.
     """

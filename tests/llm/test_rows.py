@@ -25,8 +25,9 @@ def test_pieces_hold_the_ids_of_the_tokenizer(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
     rows += [(1000 + i, t, g) for i, (_, t, g) in enumerate(AWKWARD)]
     rows += [(2000, "  two  spaces \n <|endoftext|> 'll don't \t x\u0085y ", "en")]
+    rows += [(2001, "say <|endoftext|> now", "en"), (2002, "<|endoftext|><|endoftext|>", "en"), (2003, "a <|endof text|> b", "en")]
     plain = Tokenizer.from_file(vocabulary())
-    plain.encode_special_tokens = True
+    assert plain.encode("say <|endoftext|> now", add_special_tokens=False).ids == [16706, 220, 50256, 783]
     got = pandas(packing.pack(documents(spark, rows), Workspace(spark), vocabulary(), with_ids=True))
     for doc_id, of in got.sort_values("start").groupby("doc_id"):
         text = next(t for i, t, _ in rows if i == doc_id) or ""
@@ -40,6 +41,16 @@ def test_pieces_hold_the_ids_of_the_tokenizer(spark):
     assert sorted(got.sequence_id) == list(range(len(got)))
 
 
+def test_remembered_chunks_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 2000)
+    encoder = packing.Encoder(vocabulary())
+    fresh = packing.Encoder(vocabulary())
+    for i in range(20):
+        texts = [f"word{i} some other{i} words", "two  spaces " * 500]
+        assert encoder.encode(texts) == fresh._ids(texts)
+        assert encoder.held < 4000 and not any(len(c) > 100 for c in encoder.known)
+
+
 def test_other_vocabularies_are_encoded_by_their_own_library():
     import public_tokenizers
 
@@ -58,6 +69,17 @@ def test_packing_awkward_rows(spark):
 # resharding
 
 
+def test_only_a_text_too_large_by_itself_is_parted(spark):
+    """Copies of one text hold most of all bytes; every other text keeps its copies together, in its block too."""
+    rows = [(i, "one very common text", "en") for i in range(4000)]
+    rows += [(10_000 + i, f"pair {i // 2}", "en") for i in range(4000)]
+    found = pandas(sharding.reshard(documents(spark, rows), Workspace(spark), blocks=4))
+    placed = found.merge(pandas(documents(spark, rows))[["doc_id", "text"]], on="doc_id")
+    shards = placed.groupby("text").shard.nunique()
+    assert shards["one very common text"] > 1 and (shards.drop("one very common text") == 1).all()
+    assert found.groupby("shard")["size"].sum().max() < 1.2 * found["size"].sum() / sharding.SHARDS
+
+
 def test_flow_costs_no_more_than_any_other():
     rng = random.Random(3)
     for _ in range(20):
@@ -299,7 +321,8 @@ def test_fingerprints_of_awkward_rows(spark):
     assert len({r.fingerprint for r in got if r.doc_id == 5}) == 1
     assert fingerprint.fingerprints(documents(spark, []), Workspace(spark)).count() == 0
     one = fingerprint.fingerprints(documents(spark, [(4, "a b c d e f", "en")]), Workspace(spark)).first()
-    assert one.edited_sha256 == hashlib.sha256(b"a b c da b c").hexdigest() or one.n_chars == 11
+    # 11 code points: the last 5 are replaced by the first 5 of the next text, which is the text itself
+    assert one.n_chars == 11 and one.edited_sha256 == hashlib.sha256(b"a b c " + b"a b c").hexdigest()
 
 
 # mixing
