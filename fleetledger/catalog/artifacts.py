@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetledger.catalog import budget as budget_queries
 from fleetledger.catalog import evidence as evidence_queries
-from fleetledger.catalog import lint, paths  # noqa: F401  their relations are used below
+from fleetledger.catalog import lint, paths, plans  # noqa: F401  their relations are used below
 from fleetledger.catalog.registry import query
 from fleetledger.catalog.relations import RELATIONS, sql
 from fleetledger.operators import budget, drift, health, inventory
@@ -858,15 +858,53 @@ def external_token_counter(spark, sf):
     ),
 )
 def custom_plan_source(spark, sf):
+    """A source more confident than any built-in one parses every file it recognizes."""
+    found = _hedge_registry(0.99).chunks(b.markdown_files(spark, sf))
+    return found.where("source = 'hedge-list'")
+
+
+def _hedge_registry(confidence):
     def detect(text):
-        return 0.99 if "maybe" in text else 0.0
+        return confidence if "maybe" in text else 0.0
 
     def parse(text):
         return [(n + 1, line) for n, line in enumerate(text.split("\n")) if line.startswith("maybe")]
 
     registry = extensions.PlanSources()
     registry.register("hedge-list", detect, parse)
-    return registry.chunks(b.markdown_files(spark, sf))
+    return registry
+
+
+RELATIONS["ranked_formats"] = (
+    ("formats", "md_lines"),
+    """SELECT f.repo_id, f.path, CASE WHEN greatest(f.headings, f.task_list, h.own) < 0.3 THEN 'none' WHEN f.headings >= greatest(f.task_list, h.own) THEN 'headings'
+              WHEN f.task_list >= h.own THEN 'task-list' ELSE 'hedge-list' END AS format, greatest(f.headings, f.task_list, h.own) AS confidence
+       FROM formats f JOIN (SELECT path, max(CASE WHEN contains(raw, 'maybe') THEN 0.55 ELSE 0.0 END) AS own FROM md_lines GROUP BY 1) h USING (path)""",
+)
+
+
+@query("x2_ranked_formats", sql("SELECT repo_id, path, format, CAST(confidence AS DOUBLE) AS confidence FROM ranked_formats", "ranked_formats"))
+def ranked_formats(spark, sf):
+    """A source of middling confidence wins against task lists and plain headings, and loses against declared ones."""
+    ranked = _hedge_registry(0.55).ranked(b.markdown_files(spark, sf))
+    return ranked.select("repo_id", "path", "format", F.get("ranking", F.lit(0))["confidence"].alias("confidence"))
+
+
+@query(
+    "x2_ranked_chunks",
+    sql(
+        """SELECT r.repo_id, r.path, 'headings' AS source, count(*) AS chunks FROM ranked_formats r JOIN kept k USING (path) WHERE r.format = 'headings' GROUP BY ALL
+           UNION ALL SELECT repo_id, path, 'task-list', 1 FROM ranked_formats WHERE format = 'task-list'
+           UNION ALL SELECT r.repo_id, r.path, 'hedge-list', count(*) FROM ranked_formats r JOIN md_lines l USING (path)
+             WHERE r.format = 'hedge-list' AND starts_with(l.raw, 'maybe') GROUP BY ALL""",
+        "ranked_formats",
+        "kept",
+        "md_lines",
+    ),
+)
+def ranked_chunks(spark, sf):
+    found = _hedge_registry(0.55).chunks(b.markdown_files(spark, sf))
+    return found.groupBy("repo_id", "path", "source").agg(F.count("*").alias("chunks"))
 
 
 # Declared references and loading patterns -------------------------------------

@@ -179,8 +179,8 @@ def excluded_sections(files: DataFrame) -> DataFrame:
     )
 
 
-def format_detection(files: DataFrame) -> DataFrame:
-    """Confidence of each plan format and the winner; ``none`` below the floor."""
+def format_confidences(files: DataFrame) -> DataFrame:
+    """``files`` with ``confidences``, a struct of the confidence of each built-in format: ``headings`` and ``task_list``."""
 
     def confidences(facts: Column) -> Column:
         heads, depth, tasks = facts["heads"], facts["depth"], facts["tasks"]
@@ -197,8 +197,12 @@ def format_detection(files: DataFrame) -> DataFrame:
 
     tasks = F.size(F.filter("lines", lambda l: ~l["in_fence"] & md.task_status(l["trimmed"]).isNotNull()))
     facts = F.struct("heads", _split_depth(F.col("heads")).alias("depth"), tasks.alias("tasks"))
-    rows = scanned(files).select("repo_id", "path", let(facts, confidences).alias("c"))
-    scored = rows.select("repo_id", "path", "c.headings", "c.task_list")
+    return scanned(files).select(*files.columns, let(facts, confidences).alias("confidences"))
+
+
+def format_detection(files: DataFrame) -> DataFrame:
+    """Confidence of each plan format and the winner; ``none`` below the floor."""
+    scored = format_confidences(files).select("repo_id", "path", "confidences.headings", "confidences.task_list")
     return scored.withColumn(
         "format",
         F.when(F.greatest("headings", "task_list") < MIN_CONFIDENCE, "none")

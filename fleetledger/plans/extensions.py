@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetledger.functions.binding import let
+from fleetledger.operators import plans
+
 # Fixed value: shape of a plan source's name.
 SOURCE_NAME = re.compile(r"^[a-z][a-z0-9-]*$")
 BUILT_IN = ("headings", "task-list")
@@ -38,7 +41,8 @@ def token_counter(count: Callable[[pd.Series], pd.Series]) -> Callable[[Column],
 
 
 class PlanSources:
-    """Named plan formats a user adds. The most confident one parses each file, from the first on a tie."""
+    """Named plan formats: the built-in ones and those a user adds. Of all that are registered the most confident parses a
+    file, from the first on a tie, built-in ones being first; a file on which none reaches the floor has no format."""
 
     def __init__(self) -> None:
         self._sources: dict[str, tuple[Callable[[str], float], Callable[[str], Iterable[tuple[float, str]]]]] = {}
@@ -53,19 +57,58 @@ class PlanSources:
     def unregister(self, name: str) -> bool:
         return self._sources.pop(name, None) is not None
 
+    def ranked(self, files: DataFrame) -> DataFrame:
+        """``files`` with ``ranking``, every source and its confidence, the most confident first, and ``format``, the first
+        of them or ``none``. Built-in confidences are column expressions; a text goes to the user's sources once."""
+        detects = [detect for detect, _ in self._sources.values()]
+
+        @F.pandas_udf("array<double>")
+        def confidences(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda text: [float(detect(text or "")) for detect in detects])
+
+        own = confidences("text") if detects else F.array().cast("array<double>")
+        names = F.array(*map(F.lit, (*BUILT_IN, *self._sources)))
+
+        def rank(all_confidences: Column) -> Column:
+            # descending confidence, then the order of registration
+            entries = F.transform(
+                F.arrays_zip(names.alias("name"), all_confidences.alias("confidence")),
+                lambda s, i: F.struct(
+                    (-F.coalesce(F.nanvl(s["confidence"], F.lit(0.0)), F.lit(0.0))).alias("less"), i.alias("i"), s["name"].alias("name")
+                ),
+            )
+            return F.transform(F.array_sort(entries), lambda s: F.struct(s["name"].alias("name"), (-s["less"]).alias("confidence")))
+
+        def choose(ranking: Column) -> Column:
+            best = F.get(ranking, F.lit(0))
+            name = F.when(best["confidence"] >= MIN_CONFIDENCE, best["name"]).otherwise("none")
+            return F.struct(ranking.alias("ranking"), name.alias("format"))
+
+        built_in = let(F.col("confidences"), lambda c: F.array(c["headings"], c["task_list"]))
+        chosen = let(F.concat(built_in, own), lambda values: let(rank(values), choose))
+        scored = plans.format_confidences(files).withColumn("__chosen", chosen)
+        return scored.select(*files.columns, "__chosen.ranking", "__chosen.format")
+
     def chunks(self, files: DataFrame) -> DataFrame:
-        """``repo_id, path, source, chunk_id, title`` of the files a registered source recognizes."""
+        """``repo_id, path, source, chunk_id, title`` of every file that a source recognizes, parsed by its winner."""
         sources = dict(self._sources)
+        found = self.ranked(files.select("repo_id", "path", "text"))
 
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = []
-                for repo, path, text in batch[["repo_id", "path", "text"]].itertuples(index=False):
-                    scored = [(detect(text), name) for name, (detect, _) in sources.items()]
-                    best, name = max(scored, key=lambda s: s[0], default=(0.0, ""))
-                    if best >= MIN_CONFIDENCE:
-                        rows += [(repo, path, name, float(i), t) for i, t in sources[name][1](text)]
+                rows = [
+                    (repo, path, name, float(i), title)
+                    for repo, path, text, name in batch[["repo_id", "path", "text", "format"]].itertuples(index=False)
+                    for i, title in sources[name][1](text or "")
+                ]
                 yield pd.DataFrame(rows, columns=["repo_id", "path", "source", "chunk_id", "title"])
 
         schema = "repo_id string, path string, source string, chunk_id double, title string"
-        return files.select("repo_id", "path", "text").mapInPandas(parse, schema)
+        custom = found.where(~F.col("format").isin(*BUILT_IN, "none")).select("repo_id", "path", "text", "format")
+        out = custom.mapInPandas(parse, schema)
+        for name, built_in in zip(BUILT_IN, (plans.heading_chunks, plans.task_list_chunks), strict=True):
+            won = built_in(found.where(F.col("format") == name).select("repo_id", "path", "text"))
+            out = out.unionByName(
+                won.select("repo_id", "path", F.lit(name).alias("source"), F.col("chunk_id").cast("double").alias("chunk_id"), "title")
+            )
+        return out
