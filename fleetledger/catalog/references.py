@@ -126,7 +126,25 @@ def absent_paths(spark, sf):
     return absent.select("repo_id", "chunk_id", "path")
 
 
-@query("j23_neighbours")
+@query(
+    "j23_neighbours",
+    # the absent paths of a chunk that share a directory and an extension take three of its files each, one after the other
+    sql(
+        r"""SELECT * FROM (WITH absent AS (SELECT * FROM (SELECT repo_id, chunk_id, path, CASE WHEN contains(path, '/new') THEN 1 ELSE 0 END AS path_no FROM planned) p
+             WHERE contains(path, '/') AND NOT EXISTS (SELECT 1 FROM src_files f WHERE f.repo_id = p.repo_id AND f.path = p.path)),
+           above AS (SELECT *, array_to_string(string_split(path, '/')[1:depth], '/') AS dir FROM (
+             SELECT *, unnest(range(1, len(string_split(path, '/')))) AS depth FROM absent)),
+           closest AS (SELECT repo_id, chunk_id, path_no, path, arg_max(dir, depth) AS dir FROM above JOIN (
+             SELECT DISTINCT repo_id, regexp_replace(path, '/[^/]*$', '') AS dir FROM src_files WHERE contains(path, '/')) USING (repo_id, dir) GROUP BY ALL)
+           SELECT repo_id, chunk_id, path, file FROM (
+             SELECT c.*, f.path AS file, row_number() OVER (PARTITION BY c.repo_id, c.chunk_id, c.path_no ORDER BY NOT ends_with(f.path, '.ts'), f.path) AS place,
+               dense_rank() OVER (PARTITION BY c.repo_id, c.chunk_id, c.dir ORDER BY c.path_no) AS turn
+             FROM closest c JOIN src_files f ON f.repo_id = c.repo_id AND regexp_replace(f.path, '/[^/]*$', '') = c.dir AND f.path NOT LIKE 'lib/%')
+           WHERE ceil(place / 3) = turn)""",
+        "planned",
+        "src_files",
+    ),
+)
 def neighbours(spark, sf):
     files = src_files(spark, sf)
     absent = references.absent_paths(planned(spark, sf), files, files)

@@ -431,7 +431,8 @@ def manifest(spark, sf):
     resolved, focus = layers(spark, sf)
     costed = units.layered_costs(resolved, rendered_layers(spark, sf))
     listed = resolved.where("escalated_by IS NOT NULL").select("repo_id", "chunk_id", F.col("path").alias("ref"))
-    return prompts.manifest_entries(focus, costed, listed)
+    files = code_files(spark, sf).select("repo_id", "path", F.md5("path").alias("hash"), "token_cost")
+    return prompts.manifest_entries(focus, costed, listed, files)
 
 
 RELATIONS["manifest_rows"] = (
@@ -442,6 +443,53 @@ RELATIONS["manifest_rows"] = (
 )
 
 
+RELATIONS["manifest_full"] = (
+    ("layers", "focus", "units", "code_files", "renders"),
+    """SELECT f.repo_id, f.chunk_id, f.position, f.path || '#' || f.unit_id AS ref, f.path, 'unit' AS granularity, u.tokens, c.token_cost AS file_tokens,
+              md5(u.partkey::VARCHAR) AS hash, u.start, u."end", 'task' AS reason, f.task_no::VARCHAR AS task, false AS listed, f.evidence
+       FROM focus f JOIN units u ON u.repo_id = f.repo_id AND u.path = f.path AND u.base_id = f.unit_id
+       LEFT JOIN code_files c ON c.repo_id = f.repo_id AND c.path = f.path
+       UNION ALL SELECT l.repo_id, l.chunk_id, NULL, l.path, l.path, CASE l.layer WHEN 0 THEN 'summary' WHEN 1 THEN 'signature' ELSE 'file' END,
+         coalesce(CASE l.layer WHEN 2 THEN l.full_tokens WHEN 0 THEN CAST(ceil(octet_length(encode(r.layer0)) / 4) AS BIGINT)
+           ELSE CAST(ceil(octet_length(encode(r.layer1)) / 4) AS BIGINT) END, l.full_tokens), l.full_tokens,
+         CASE WHEN c.path IS NOT NULL THEN md5(l.path) END, NULL, NULL, CASE WHEN l.escalated_by IS NOT NULL THEN 'task' ELSE l.role END,
+         l.escalated_by::VARCHAR, l.escalated_by IS NOT NULL, NULL
+       FROM layers l LEFT JOIN renders r USING (repo_id, path) LEFT JOIN code_files c ON c.repo_id = l.repo_id AND c.path = l.path""",
+)
+
+
+@query("j28_full_entries", sql("SELECT * EXCLUDE (position) FROM manifest_full", "manifest_full"))
+def full_manifest_entries(spark, sf):
+    """Every field of every entry, costs included."""
+    return manifest(spark, sf).drop("position")
+
+
+@query(
+    "k5_manifest_documents",
+    sql(
+        """SELECT repo_id, chunk_id, concat('{"active_chunk":', chunk_id, ',"entries":[', entries, '],"generated_at":"2024-01-01T00:00:00Z","prompt_hash":"',
+                  substr(sha256('Load chunk ' || chunk_id), 1, 16), '","totals":{"file_tokens":', file_tokens, ',"tokens":', tokens, '},"version":1}') AS manifest,
+                  substr(sha256(concat('{"active_chunk":', chunk_id, ',"entries":[', entries, '],"prompt_hash":"',
+                  substr(sha256('Load chunk ' || chunk_id), 1, 16), '","totals":{"file_tokens":', file_tokens, ',"tokens":', tokens, '},"version":1}')), 1, 16) AS content_hash
+           FROM (SELECT repo_id, chunk_id, sum(tokens)::BIGINT AS tokens, string_agg(concat('{', CASE WHEN evidence IS NOT NULL THEN '"end":' || "end" || ',"evidence":"' || evidence || '",'
+                     WHEN "end" IS NOT NULL THEN '"end":' || "end" || ',' ELSE '' END, '"file_tokens":', file_tokens, ',"granularity":"', granularity, '",',
+                   CASE WHEN hash IS NOT NULL THEN '"hash":"' || hash || '",' ELSE '' END, '"listed":', listed, ',"path":"', path, '","reason":"', reason, '","ref":"', ref, '",',
+                   CASE WHEN start IS NOT NULL THEN '"start":' || start || ',' ELSE '' END, CASE WHEN task IS NOT NULL THEN '"task":"' || task || '",' ELSE '' END,
+                   '"tokens":', tokens, '}'), ',' ORDER BY position NULLS LAST, ref) AS entries FROM manifest_full GROUP BY ALL)
+           JOIN (SELECT repo_id, chunk_id, sum(file_tokens)::BIGINT AS file_tokens FROM (
+             SELECT repo_id, chunk_id, path, max(file_tokens) AS file_tokens FROM manifest_full GROUP BY ALL) GROUP BY ALL) USING (repo_id, chunk_id)""",
+        "manifest_full",
+    ),
+)
+def manifest_documents(spark, sf):
+    from fleetledger.operators import prompts
+
+    entries = manifest(spark, sf)
+    text = F.concat(F.lit("Load chunk "), F.col("chunk_id").cast("string"))
+    asked = entries.select("repo_id", "chunk_id").distinct().withColumn("text", text)
+    return prompts.manifest_documents(entries, asked, F.lit("2024-01-01T00:00:00Z"))
+
+
 @query("j28_manifest_entries", sql("SELECT * FROM manifest_rows", "manifest_rows"))
 def manifest_entries(spark, sf):
     return manifest(spark, sf).select("repo_id", "chunk_id", "ref", "granularity", "reason", "listed")

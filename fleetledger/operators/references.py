@@ -162,15 +162,15 @@ def neighbours(absent: DataFrame, indexed: DataFrame, taken: DataFrame, per_path
         .agg(F.max_by("dir", "depth").alias("dir"))
     )
     free = beside.join(taken.select("repo_id", F.col("path").alias("file")), ["repo_id", "file"], "left_anti")
-    order = Window.partitionBy("repo_id", "chunk_id", "path_no").orderBy(
-        (extname(F.col("file")) != extname(F.col("path"))).cast("int"), "file"
-    )
-    candidates = (
-        closest.join(free, ["repo_id", "dir"])
+    # what a directory offers depends on the extension asked for alone: ranked once for each, and met by every path
+    sought = closest.withColumn("ext", extname(F.col("path")))
+    order = Window.partitionBy("repo_id", "dir", "ext").orderBy((extname(F.col("file")) != F.col("ext")).cast("int"), "file")
+    offered = (
+        sought.select("repo_id", "dir", "ext").distinct().join(free, ["repo_id", "dir"])
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_path + per_chunk)
-        .select("repo_id", "chunk_id", "path_no", "path", "file", "rank")
     )
+    candidates = sought.join(offered, ["repo_id", "dir", "ext"]).select("repo_id", "chunk_id", "path_no", "path", "file", "rank")
 
     def pick(acc: Column, c: Column) -> Column:
         full = F.size(acc) >= per_chunk
