@@ -38,9 +38,8 @@ from fleetledger.llm.words import shingle_sets, words_of
 
 SKETCH_SIZE = 48
 TAIL = 1e-7
-#: Lists become stars again while they would give more pairs than this for each of their entries, and until so many rounds
-#: in a row found no link.
-PAIRS_AN_ENTRY, FRUITLESS = 4, 2
+#: Lists become stars again while they would give more pairs than this for each of their entries.
+PAIRS_AN_ENTRY = 4
 
 
 def least_overlap(k: int, threshold: Fraction, tail: float = TAIL) -> int:
@@ -201,10 +200,12 @@ def near_duplicates(
     )
     links = confirm(stars, "star")
     parts = work.save(components(work, links), "parts")
-    more = _across(work, classes, texts, work.save(_open_classes(lists, parts), "open"), shingle_words, threshold)
-    parts = work.save(components(work, links.union(more)), "parts")
+    moved = _across(work, classes, texts, work.save(_open_classes(lists, parts), "open"), shingle_words, threshold)
     named = classes.select(F.col("cls").alias("node"), "least_id").join(parts, "node", "left")
     named = named.select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    if moved is not None:
+        to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        named = named.join(to, "root", "left").select("node", "least_id", F.coalesce("to", "root").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = work.save(named.join(ids, "root").select(F.col("node").alias("cls"), "component_id"), "named")
     return (
@@ -251,8 +252,9 @@ def _open_classes(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _across(
     work: Workspace, classes: DataFrame, texts: DataFrame, open_classes: DataFrame, shingle_words: int, threshold: Fraction
-) -> DataFrame:
-    """Links (u, v) from full sets that join all components of the open classes that any link joins.
+) -> DataFrame | None:
+    """Where links between full sets of open classes take their components: (node, root) of every component that any link
+    joins to others, or nothing if there is no such link.
 
     Each set is ordered by frequency, rarest first. Two sets of sizes n and l within the threshold t share at least
     t (n + l) / (1 + t) values, so the first n - t n + 1 of each hold a shared one, and a value at positions i and j
@@ -311,7 +313,16 @@ def _across(
     def others(rows: DataFrame) -> DataFrame:
         return rows.select("value", *(F.col(c).alias(f"other_{c}") for c in ("cls", "part", "n", "room")))
 
-    links, fruitless, turn = None, 0, 0
+    def joined(moved: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All moves so far with those of new links behind them, and the new ones alone."""
+        new = components(work, links.select(F.col("part").alias("u"), F.col("other_part").alias("v")))
+        if moved is None:
+            return new, new
+        then = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        on = moved.join(then, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return work.save(on.union(new.join(moved.select("node"), "node", "left_anti")), "moved"), new
+
+    moved, turn = None, 0
     while True:
         spread = lists.groupBy("value", "part").agg(F.count("*").alias("m")).groupBy("value").agg(
             F.count("*").alias("parts"), F.sum("m").alias("entries"), F.sum(F.col("m").cast("double") ** 2).alias("within")
@@ -321,7 +332,7 @@ def _across(
         size = wide.agg(
             F.sum("entries").alias("entries"), F.sum((F.col("entries").cast("double") ** 2 - F.col("within")) / 2).alias("pairs")
         ).first()
-        if not size.entries or fruitless == FRUITLESS or size.pairs <= PAIRS_AN_ENTRY * size.entries:
+        if not size.entries or size.pairs <= PAIRS_AN_ENTRY * size.entries:
             break
         # the class with the fewest values of its own first, then any
         order = F.col("own") / F.col("n") if not turn else F.xxhash64("value", "cls", F.lit(turn))
@@ -331,16 +342,12 @@ def _across(
         more = confirmed(lists.join(others(centre.select("value", "c.*")), "value"), "round")
         turn += 1
         if more.isEmpty():
-            fruitless += 1
-            continue
-        fruitless = 0
-        links = more if links is None else links.union(more)
-        roots = components(work, more.select(F.col("part").alias("u"), F.col("other_part").alias("v")))
-        moved = lists.join(roots.withColumnRenamed("node", "part"), "part", "left")
-        lists = work.save(moved.withColumn("part", F.coalesce("root", "part")).drop("root"), "open-lists")
+            break
+        moved, new = joined(moved, more)
+        placed = lists.join(new.withColumnRenamed("node", "part"), "part", "left")
+        lists = work.save(placed.withColumn("part", F.coalesce("root", "part")).drop("root"), "open-lists")
     if size.entries:
         more = confirmed(lists.join(others(lists), "value").where("cls < other_cls"), "open")
-        links = more if links is None else links.union(more)
-    if links is None:
-        links = sets.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
-    return links.select("u", "v")
+        if not more.isEmpty():
+            moved, _ = joined(moved, more)
+    return moved
