@@ -31,46 +31,58 @@ def _whole_paths(files: DataFrame) -> DataFrame:
     return files.select("repo_id", "path", parts.alias("parts")).where(F.size("parts") > 0)
 
 
-def _file_tails(files: DataFrame) -> DataFrame:
+def _file_tails(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A row per tail of each file, at most as many as the path is deep."""
-    return unnest(_whole_paths(files), ["repo_id", "path"], tails(F.col("parts")))
+    return unnest(_whole_paths(files), ["repo_id", "path", *(keep or [])], tails(F.col("parts")))
 
 
-def text_tokens(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """Distinct path tokens of each text, as text."""
-    tokens = F.transform(path_tokens(F.col("text")), lambda t: F.array_join(t, "/"))
-    return unnest(texts, ["repo_id", *keep], tokens, ["token"]).distinct()
+def _tokens(text: Column) -> Column:
+    """The path tokens of a text, as text."""
+    return F.array_distinct(F.transform(path_tokens(text), lambda t: F.array_join(t, "/")))
 
 
-def _own_tails(tokens: DataFrame) -> DataFrame:
+def _own_tails(tokens: DataFrame, keep: list[str]) -> DataFrame:
     """The proper tails of each token."""
-    return unnest(tokens, ["repo_id", "token"], tails(F.split("token", "/"))).where("tail <> token")
+    return unnest(tokens, [*keep, "token"], tails(F.split("token", "/"))).where("tail <> token")
 
 
-def token_targets(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo_id, token, path``: the one file each distinct token names; a tie names nothing.
+def _shortest(tokens: Column) -> Column:
+    """The tokens of which no proper tail is a token itself."""
+
+    def shorter(token: Column) -> Column:
+        parts = F.split(token, "/")
+        return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+    return F.filter(tokens, lambda t: F.when(t.contains("/"), ~F.arrays_overlap(shorter(t), tokens)).otherwise(True))
+
+
+def text_targets(texts: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
+    """``repo_id, *keep, path``: distinct files that a token of each text names; a token that is a tie names nothing.
 
     A token that is a tail of files agrees with these in full, and no file can agree with more of it: one such file is
-    named, several are a tie. A token that is no file's tail names the file whose whole path is its longest tail.
+    named, several are a tie. A token that is no file's tail names the file whose whole path is its longest tail. Every
+    token meets the counted tails of all files once, with its own tails beside it, and the longest that counts decides.
     """
-    distinct = tokens.select("repo_id", "token").distinct()
-    counted = _file_tails(files).groupBy("repo_id", F.col("tail").alias("token")).agg(
-        F.count("*").alias("n"), F.min("path").alias("path")
-    )
-    met = distinct.join(counted, ["repo_id", "token"], "left")
-    within = met.where("n = 1").select("repo_id", "token", "path")
-    whole = _whole_paths(files).groupBy("repo_id", F.array_join("parts", "/").alias("tail")).agg(
-        F.count("*").alias("n"), F.min("path").alias("path")
+    key = ["repo_id", *keep]
+    tokens = unnest(texts, key, _tokens(F.col("text")), ["token"])
+    tried = unnest(tokens, [*key, "token"], tails(F.split("token", "/")))
+    whole = F.col("tail") == F.array_join("parts", "/")
+    counted = _file_tails(files, ["parts"]).groupBy("repo_id", "tail").agg(
+        F.count("*").alias("n"), F.min("path").alias("path"),
+        F.count_if(whole).alias("whole_n"), F.min(F.when(whole, F.col("path"))).alias("whole_path"),
     )
-    around = (
-        _own_tails(met.where("n IS NULL").select("repo_id", "token"))
-        .join(whole, ["repo_id", "tail"])
-        .groupBy("repo_id", "token")
-        .agg(F.max_by(F.struct("n", "path"), "size").alias("best"))
+    own = F.col("tail") == F.col("token")
+    met = tried.join(counted, ["repo_id", "tail"]).where(own | (F.col("whole_n") > 0))
+    best = F.struct(F.when(own, F.col("n")).otherwise(F.col("whole_n")).alias("n"), F.when(own, F.col("path")).otherwise(F.col("whole_path")).alias("path"))
+    return (
+        met.select(*key, "token", "size", best.alias("best"))
+        .repartition(*key)
+        .groupBy(*key, "token")
+        .agg(F.max_by("best", "size").alias("best"))
         .where("best.n = 1")
-        .select("repo_id", "token", F.col("best.path").alias("path"))
+        .select(*key, F.col("best.path").alias("path"))
+        .distinct()
     )
-    return within.unionByName(around)
 
 
 def open_texts(chunks: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -90,27 +102,26 @@ def open_texts(chunks: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def referenced_files(texts: DataFrame, files: DataFrame) -> DataFrame:
     """``repo_id, path, chunk_id``: distinct chunks whose open texts name each file."""
-    tokens = text_tokens(texts, ["chunk_id"])
-    return (
-        tokens.join(token_targets(tokens, files), ["repo_id", "token"])
-        .select("repo_id", "path", "chunk_id")
-        .distinct()
-    )
+    return text_targets(texts, files, ["chunk_id"]).select("repo_id", "path", "chunk_id")
 
 
 def mentions(texts: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
     """Files each text mentions, without asking that the mention be unique.
 
     The result has a row for each text and file, so a text that says ``index.ts`` has as many as there are such files:
-    that expansion is what is asked for. Nothing beyond it is made on the way.
+    that expansion is what is asked for, and nothing is shuffled after it. What a token names, a proper tail of it names
+    too, so a text's shortest tokens are enough; two of these are tails of no common file, so no row comes twice. A file
+    can only be a tail of several of them, and only those rows, few a token, are made distinct. The tokens of one text
+    are gathered.
     """
-    tokens = text_tokens(texts, keep)
-    distinct = tokens.select("repo_id", "token").distinct()
-    within = distinct.join(_file_tails(files).select("repo_id", F.col("tail").alias("token"), "path"), ["repo_id", "token"])
-    whole = _whole_paths(files).select("repo_id", "path", F.array_join("parts", "/").alias("tail"))
-    around = _own_tails(distinct).join(whole, ["repo_id", "tail"]).select("repo_id", "token", "path")
-    targets = within.unionByName(around).distinct()
-    return tokens.join(targets, ["repo_id", "token"]).select("repo_id", *keep, "path").distinct()
+    key = ["repo_id", *keep]
+    gathered = unnest(texts, key, _tokens(F.col("text")), ["token"]).groupBy(*key).agg(F.collect_set("token").alias("tokens"))
+    tokens = unnest(gathered, key, _shortest(F.col("tokens")), ["token"])
+    paths = files.select("repo_id", "path").distinct()
+    within = tokens.join(_file_tails(paths).select("repo_id", F.col("tail").alias("token"), "path"), ["repo_id", "token"])
+    whole = _whole_paths(paths).select("repo_id", "path", F.array_join("parts", "/").alias("tail"))
+    around = _own_tails(tokens.where(F.col("token").contains("/")), key).join(whole, ["repo_id", "tail"])
+    return within.select(*key, "path").unionByName(around.select(*key, "path").distinct())
 
 
 def plan_tags(references: DataFrame, files: DataFrame, always_include: DataFrame) -> DataFrame:
@@ -132,7 +143,8 @@ def absent_paths(planned: DataFrame, known: DataFrame, inventory: DataFrame) ->
     """Planned paths that are new: in a directory, path-shaped, no tail of a known file, not on disk."""
     wanted = planned.where(F.col("path").contains("/") & is_path_shaped(F.col("path")))
     known_tails = unnest(known.select("repo_id", "path"), ["repo_id"], tails(F.split("path", "/")))
-    named = known_tails.select("repo_id", F.col("tail").alias("path")).distinct()
+    # a wanted path has a slash, so no basename can be one
+    named = known_tails.where(F.col("tail").contains("/")).select("repo_id", F.col("tail").alias("path")).distinct()
     fresh = wanted.join(named, ["repo_id", "path"], "left_anti")
     return fresh.join(inventory.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
 
