@@ -97,6 +97,20 @@ def test_rare_toxic_expressions_count_in_large_texts(spark):
     assert toxic.sum() == 20 and (got.ratio[toxic] > 0).all() and (got.ratio[~toxic] <= 0).all()
 
 
+def test_expressions_far_inside_long_words_count(spark, monkeypatch):
+    """What tells is the 40th letter of a word; ordinary words agree with it up to there."""
+    rng = np.random.default_rng(4)
+    plain, stem = ["".join(rng.choice(list("aeioubcd"), 3)) for _ in range(60)], "abcdefghij" * 4
+    rows, marks = [], []
+    for i in range(600):
+        rows.append((i, " ".join([*rng.choice(plain, 20), stem + ("nasty" if i % 3 == 0 else "gentle")]), "en"))
+        marks.append((i, 1, int(i % 3 == 0)))
+    for most in (toxicity.BROADCAST_PREFIXES, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST_PREFIXES", most)
+        got = pandas(toxicity.classify(documents(spark, rows), labels(spark, marks), Workspace(spark)))
+        assert ((got.doc_id % 3 == 0) == (got.predicted == 1)).all()
+
+
 def test_toxicity_by_join_equals_that_by_broadcast(spark, monkeypatch):
     tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")]
     docs = tables[0].select("doc_id", "text").union(documents(spark, AWKWARD).select("doc_id", "text"))
