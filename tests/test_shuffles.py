@@ -66,3 +66,8 @@ def test_candidates_of_imports_are_tried_once_a_base(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     below = plan[next(i for i, line in enumerate(plan) if "Generate" in line) :]
     assert any("Aggregate" in line and "path" not in line.split("],")[0] for line in below)
+
+
+def test_declared_units_are_dealt_once(spark):
+    most = {"j19_declaration_choice": 12, "j28_manifest_entries": 34, "j28_full_entries": 38}
+    assert {n: m for n in most if (m := exchanges(queries()[n](spark, SF))) > most[n]} == {}
