@@ -1,9 +1,12 @@
 """What the large joins shuffle, and that they still find the same."""
 
 import itertools
+import json
+
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from fleetledger.operators import references, units
+from fleetledger.operators import prompts, references, units
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +74,24 @@ def test_candidates_of_imports_are_tried_once_a_base(spark):
 def test_declared_units_are_dealt_once(spark):
     most = {"j19_declaration_choice": 12, "j28_manifest_entries": 34, "j28_full_entries": 38}
     assert {n: m for n in most if (m := exchanges(queries()[n](spark, SF))) > most[n]} == {}
+
+
+def test_manifests_are_gathered_from_flat_rows(spark):
+    schema = ("repo_id string, chunk_id int, position int, ref string, path string, granularity string, tokens long, file_tokens long,"
+              " hash string, start long, end long, reason string, task string, evidence string, listed boolean")
+    rows = [
+        ("r", 1, None, "b.ts", "b.ts", "file", 5, 9, None, None, None, "chunk", None, None, True),
+        ("r", 1, 2, "a.ts#z", "a.ts", "unit", 2, 7, "h", 1, 2, "task", "4", None, False),
+        ("r", 1, 1, "elsewhere", "a.ts", "unit", 1, 7, None, None, None, "task", None, None, False),
+    ]
+    asked = spark.createDataFrame([("r", 1, "t"), ("r", 2, "u")], "repo_id string, chunk_id int, text string")
+    made = prompts.manifest_documents(spark.createDataFrame(rows, schema), asked, F.lit("now"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" in plan
+    gather = plan[: plan.index("partial_collect_list")]
+    # what gathers lies above every exchange of the entries
+    assert gather.count("Exchange") <= 1
+    got = {r.chunk_id: json.loads(r.manifest) for r in made.collect()}
+    assert [e["ref"] for e in got[1]["entries"]] == ["elsewhere", "a.ts#z", "b.ts"]
+    assert got[1]["totals"] == {"file_tokens": 16, "tokens": 8}
+    assert got[2]["entries"] == [] and got[2]["generated_at"] == "now" and list(got[2]) == sorted(got[2])
