@@ -199,3 +199,35 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
         .parquet(path)
     )
     return touched
+
+
+def rewritten(docs: DataFrame, work: Workspace, **options) -> DataFrame:
+    """reshard() with its files: those of all shards that gave or took documents are written, each row with its text and
+    slot, and what the result says of these rows is read from them. Rows of other shards stay where they are.
+
+    docs: doc_id, text; ids may be missing or repeated. Rows of equal id and text are the same text, which is shuffled
+    once, to its places.
+    """
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size, crc = (F.length(raw) + FIXED_BYTES).cast("long"), F.crc32(raw)
+    placed = work.save(reshard(docs, work, **options), "placed")
+    moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard"))
+    touched = sorted(r[0] for r in moved.distinct().collect())
+    key = ["__id", "__size", "__crc", "__none"]
+    names = {"__size": F.col("size"), "__crc": F.col("text_crc32")}
+
+    def keyed(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
+        number = F.col("doc_id").cast("long")
+        return rows.withColumns({"__id": F.coalesce(number, F.lit(0)), "__none": number.isNull(), **more})
+
+    texts = keyed(docs.select("doc_id", "text"), {"__size": size, "__crc": crc}).drop("doc_id").dropDuplicates(key)
+    affected = keyed(placed.where(F.col("shard").isin(touched)), names).select(*key, "doc_id", "old_shard", "shard", "slot")
+    path = f"{work.folder}/shards"
+    rows = affected.join(texts, key).select("doc_id", "old_shard", "slot", "text", "shard")
+    rows.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    files = docs.sparkSession.read.schema("doc_id long, old_shard int, slot long, text string, shard int").parquet(path)
+    read = files.select(
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "old_shard", "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+    return read.union(placed.where(~F.col("shard").isin(touched)).select(read.columns))
