@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetledger.functions.binding import let
@@ -15,6 +16,8 @@ from fleetledger.operators import plans
 SOURCE_NAME = re.compile(r"^[a-z][a-z0-9-]*$")
 BUILT_IN = ("headings", "task-list")
 MIN_CONFIDENCE = 0.3
+#: Rows that a task gathers before they leave.
+BLOCK_ROWS = 5_000
 
 
 def token_counter(count: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
@@ -62,9 +65,10 @@ class PlanSources:
         of them or ``none``. Built-in confidences are column expressions; a text goes to the user's sources once."""
         detects = [detect for detect, _ in self._sources.values()]
 
-        @F.pandas_udf("array<double>")
-        def confidences(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda text: [float(detect(text or "")) for detect in detects])
+        @F.arrow_udf("array<double>")
+        def confidences(texts: pa.Array) -> pa.Array:
+            # a batch stays Arrow's, one text of it at a time is Python's
+            return pa.array([[float(detect(t.as_py() or "")) for detect in detects] for t in texts], pa.list_(pa.float64()))
 
         own = confidences("text") if detects else F.array().cast("array<double>")
         names = F.array(*map(F.lit, (*BUILT_IN, *self._sources)))
@@ -94,18 +98,28 @@ class PlanSources:
         sources = dict(self._sources)
         found = self.ranked(files.select("repo_id", "path", "text"))
 
-        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a file's text becomes Python's alone, and rows leave in blocks of bounded number
+            rows: list[tuple[str, str, str, float, str]] = []
             for batch in batches:
-                rows = [
-                    (repo, path, name, float(i), title)
-                    for repo, path, text, name in batch[["repo_id", "path", "text", "format"]].itertuples(index=False)
-                    for i, title in sources[name][1](text or "")
-                ]
-                yield pd.DataFrame(rows, columns=["repo_id", "path", "source", "chunk_id", "title"])
+                for repo, path, text, name in zip(*(batch.column(c) for c in ("repo_id", "path", "text", "format")), strict=True):
+                    lead = repo.as_py(), path.as_py(), name.as_py()
+                    for i, title in sources[lead[2]][1](text.as_py() or ""):
+                        rows.append((*lead, float(i), title))
+                        if len(rows) == BLOCK_ROWS:
+                            yield block(rows)
+                            rows = []
+            if rows:
+                yield block(rows)
+
+        def block(rows: list[tuple[str, str, str, float, str]]) -> pa.RecordBatch:
+            types = {"repo_id": pa.string(), "path": pa.string(), "source": pa.string(), "chunk_id": pa.float64(), "title": pa.string()}
+            columns = zip(types.values(), zip(*rows, strict=True), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], names=list(types))
 
         schema = "repo_id string, path string, source string, chunk_id double, title string"
         custom = found.where(~F.col("format").isin(*BUILT_IN, "none")).select("repo_id", "path", "text", "format")
-        out = custom.mapInPandas(parse, schema)
+        out = custom.mapInArrow(parse, schema)
         for name, built_in in zip(BUILT_IN, (plans.heading_chunks, plans.task_list_chunks), strict=True):
             won = built_in(found.where(F.col("format") == name).select("repo_id", "path", "text"))
             out = out.unionByName(

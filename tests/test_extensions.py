@@ -68,3 +68,16 @@ def test_names_are_checked():
         with pytest.raises(ValueError):
             found.register(name, lambda t: 0.0, lambda t: [])
     assert found.unregister("own") and not found.unregister("own")
+
+
+def test_texts_become_python_one_at_a_time_and_rows_leave_in_blocks(spark):
+    registry = extensions.PlanSources()
+    registry.register("every-line", lambda text: 0.99, lambda text: ((n, line) for n, line in enumerate(text.split("\n"))))
+    n = extensions.BLOCK_ROWS + 7
+    files = spark.createDataFrame([("r", "a.md", "\n".join(map(str, range(n)))), ("r", "b.md", ""), ("r", "c.md", None)], "repo_id string, path string, text string")
+    found = registry.chunks(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    rows = found.collect()
+    assert sorted(int(r.title) for r in rows if r.path == "a.md") == list(range(n))
+    assert [(r.path, r.chunk_id, r.title) for r in rows if r.path != "a.md"] == [("b.md", 0.0, ""), ("c.md", 0.0, "")]
