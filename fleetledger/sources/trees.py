@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetledger.functions.paths import ALWAYS_IGNORED_DIRS
 
 _LISTED = "path string, size_bytes long, is_dir boolean"
+#: Tasks that list one level, at most.
+MOST_TASKS = 1024
 
 
 def _file_system(root: str):
@@ -85,9 +87,11 @@ def list_tree(
         _children(folders, root, ignored).write.parquet(f"{work}/level={level}")
         found = spark.read.schema(_LISTED).parquet(f"{work}/level={level}")
         folders = found.where("is_dir").select("path")
-        if folders.isEmpty():
+        number = folders.count()
+        if not number:
             break
-        folders = folders.repartition("path")
+        # few bytes and much work: a stated number of partitions, which adaptive execution leaves as they are
+        folders = folders.repartition(min(number, MOST_TASKS), "path")
     listed = spark.read.schema(_LISTED).parquet(*(f"{work}/level={n}" for n in range(1, level + 1)))
     return listed.where("NOT is_dir").select("path", "size_bytes")
 
@@ -99,7 +103,8 @@ def relative(path: Column, root: str) -> Column:
 
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``path, size_bytes`` of the files under a folder, listed by Spark, which leaves out empty files and names that begin
-    with a dot or an underscore; contents are never read."""
+    with a dot or an underscore; contents are never read. For trees of some thousand files: the driver holds their names
+    and makes a task of every 32 small ones. :func:`list_tree` has no such bounds."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return found.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size_bytes"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from fleetledger.operators import health
 from fleetledger.sources import artifacts, sinks, trees
 
@@ -48,6 +49,15 @@ def test_listing_stops_at_a_depth(spark, root, tmp_path):
     assert trees.list_tree(spark, f"{root}/nowhere", f"file://{tmp_path}/none").count() == 0
 
 
+def test_full_inventory_is_not_cut_into_tasks_of_few_files(spark):
+    """Spark's file source makes a partition of 32 small files; the listing must not grow its tasks like that."""
+    sf = "/root/testdata/sf0.001"
+    listed = queries()["s1_full_inventory"](spark, sf)
+    files = listed.count()
+    assert files > 300 and listed.rdd.getNumPartitions() < files / 32
+    assert listed.where("path LIKE '%node_modules%'").count() > 0 and listed.select("path").distinct().count() == files
+
+
 def test_whole_texts_come_back(spark, root):
     texts = {r.path: r.text for r in trees.read_texts(spark, root).collect()}
     assert {p: t for p, t in texts.items() if t} == {
