@@ -132,3 +132,19 @@ def test_broken_sources_leave_out_what_needs_them(spark):
         "index": {"FILE_INDEX_INVALID", "PLAN_MISSING", "PROMPT_MISSING", "SESSION_STALE"},
         "fine": {"BUDGET_EXCEEDED", "SESSION_STALE"},
     }
+
+
+def test_one_code_is_audited_by_the_rules_that_decide_on_it(spark):
+    """The findings of a code are those of the whole audit, without the tables of the other rules."""
+    sf = "/root/testdata/sf0.001"
+    whole = queries()["h_health_audit"](spark, sf).collect()
+    codes = {r.code for r in whole}
+    # h5 reads other tables than the audit does
+    named = {n: q(spark, sf) for n, q in queries().items() if n[0] == "h" and n[:3] != "h5_" and n.partition("_")[2].upper() in codes}
+    assert len(named) > 5
+    for name, found in named.items():
+        code = name.partition("_")[2].upper()
+        assert sorted(r.repo_id for r in found.collect()) == sorted(r.repo_id for r in whole if r.code == code)
+    for name in ("h1_session_state_invalid", "h11_session_stale"):
+        plan = queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 2
