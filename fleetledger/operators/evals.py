@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -166,11 +168,17 @@ def _block_picks(sizes: np.ndarray, draw: int, seed: int) -> np.ndarray:
     return random.multinomial(int(sizes.sum()), sizes / sizes.sum())
 
 
-def _block_total(counts: np.ndarray, picks: int, draw: int, block: int, seed: int) -> float:
+def _block_total(
+    counts: np.ndarray, picks: int, draw: int, block: int, seed: int, alike: np.ndarray | None = None
+) -> float:
     """Sum of the pass-rate differences of the tasks picked in a block; ``counts`` has the columns of ``_COUNTS``. A task
-    picked w times has its repeats resampled w times, which passes a binomial number of w x n of them."""
+    picked w times has its repeats resampled w times, which passes a binomial number of w x n of them. With ``alike``, a
+    row stands for so many tasks of equal counts: which of them is picked makes no difference, only how often."""
     random = np.random.Generator(np.random.Philox(key=[seed & _WORD, draw], counter=[0, 0, 1, block]))
-    times = np.bincount(random.integers(0, len(counts), picks), minlength=len(counts))
+    if alike is None:
+        times = np.bincount(random.integers(0, len(counts), picks), minlength=len(counts))
+    else:
+        times = random.multinomial(picks, alike / alike.sum())
     n_b, k_b, n_c, k_c = counts[times > 0].T
     times = times[times > 0]
     return float((random.binomial(times * n_b, k_b / n_b) / n_b - random.binomial(times * n_c, k_c / n_c) / n_c).sum())
@@ -182,9 +190,11 @@ def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.
 
     Runs are reduced to run and pass counts per task, and tasks are dealt to blocks by a hash. Picking tasks with
     replacement is picking blocks by their sizes and then tasks within the block: each draw's picks are dealt to the
-    blocks first, and every block adds up its own part of every draw. So a block's tasks meet no others, one number
-    per draw and block is shuffled, and the result depends on the tasks and the seed alone, not on how rows are dealt.
-    The driver holds a size for each block.
+    blocks first, and every block adds up its own part of every draw. So a block's tasks meet no others, two numbers
+    per draw and block are shuffled, and the result depends on the tasks and the seed alone, not on how rows are dealt.
+    The driver holds a size for each block. Tasks of equal counts can stand for each other; where they make no more than
+    half as many rows, blocks hold such classes with their sizes, so that a draw costs as much as there are different
+    counts, not tasks.
     """
     counts = runs.groupBy("task").agg(
         *[F.count_if(F.col("arm") == arm).alias(f"n_{arm}") for arm in ("bootstrap", "control")],
@@ -195,23 +205,43 @@ def bootstrap_interval(runs: DataFrame, draws: int, seed: int, level: float = 0.
 
 def _interval(counts: DataFrame, draws: int, seed: int, level: float) -> DataFrame:
     difference = F.col("k_bootstrap") / F.col("n_bootstrap") - F.col("k_control") / F.col("n_control")
-    whole = counts.agg(F.count("*").alias("tasks"), F.avg(difference).alias("estimate")).first()
-    blocks = min(BLOCKS, max(1, -(-whole.tasks // BLOCK_TASKS)))
-    dealt = counts.withColumn("block", F.pmod(F.xxhash64("task"), F.lit(blocks)).cast("int"))
+    equal = counts.groupBy(*_COUNTS).agg(F.count("*").alias("alike"))
+    whole = equal.agg(
+        F.count("*").alias("classes"),
+        F.coalesce(F.sum("alike"), F.lit(0)).alias("tasks"),
+        # a decimal sum, whose last digit does not depend on the shuffle
+        F.try_divide(F.sum(difference.cast("decimal(20,18)") * F.col("alike")).cast("double"), F.sum("alike")).alias("estimate"),
+    ).first()
+    gathered = 2 * whole.classes <= whole.tasks
+    key = _COUNTS if gathered else ("task",)
+    rows = equal if gathered else counts.withColumn("alike", F.lit(1).cast("long"))
+    blocks = min(BLOCKS, max(1, -(-(whole.classes if gathered else whole.tasks) // BLOCK_TASKS)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
     sizes = np.zeros(blocks, np.int64)
-    for r in dealt.groupBy("block").count().collect():
-        sizes[r["block"]] = r["count"]
+    for r in dealt.groupBy("block").agg(F.sum("alike").alias("tasks")).collect():
+        sizes[r["block"]] = r["tasks"]
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("id").to_pylist():
+                picks = _block_picks(sizes, d, seed)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "draw": pa.array([d] * blocks, pa.int32()), "picks": picks})
 
-    def totals(key: tuple[int], rows: pa.Table) -> pa.Table:
+    def totals(key: tuple[int], rows: pa.Table, picks: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        rows = rows.sort_by("task")
+        rows, picks = rows.sort_by("name"), picks.sort_by("draw")
         held = np.stack([rows.column(c).to_numpy() for c in _COUNTS], 1)
-        sums = [_block_total(held, int(_block_picks(sizes, d, seed)[block]), d, block, seed) for d in range(1, draws + 1)]
-        return pa.table({"draw": pa.array(range(1, draws + 1), pa.int32()), "block": pa.array([block] * draws, pa.int32()), "total": sums})
+        alike = rows.column("alike").to_numpy() if gathered else None
+        dealt_out = zip(picks.column("draw").to_pylist(), picks.column("picks").to_pylist(), strict=True) if len(held) else ()
+        sums = [(d, _block_total(held, n, d, block, seed, alike)) for d, n in dealt_out]
+        return pa.table({
+            "draw": pa.array([d for d, _ in sums], pa.int32()), "block": pa.array([block] * len(sums), pa.int32()), "total": pa.array([t for _, t in sums], pa.float64()),
+        })
 
     # few bytes and much work: a stated number of partitions, which adaptive execution leaves as they are
-    apart = dealt.select("block", F.col("task").cast("string").alias("task"), *_COUNTS).repartition(blocks, "block")
-    per_block = apart.groupBy("block").applyInArrow(totals, _SUMS)
+    apart = dealt.select("block", F.concat_ws(" ", *key).alias("name"), *_COUNTS, "alike").repartition(blocks, "block")
+    every = counts.sparkSession.range(1, (draws if whole.tasks else 0) + 1).mapInArrow(picked, "block int, draw int, picks long").repartition(blocks, "block")
+    per_block = apart.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(totals, _SUMS)
     # sums of doubles in the blocks' order, so that the last digit does not depend on the shuffle
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "total"))), lambda x: x["total"])
     stat = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x) / max(whole.tasks, 1)

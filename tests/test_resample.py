@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -112,3 +113,27 @@ def test_no_tasks_and_one_sided_tasks(spark):
         assert got.estimate is None and got.lo is None and got.hi is None
     certain = [("t", "bootstrap", True), ("t", "control", False)]
     assert tuple(evals.bootstrap_interval(spark.createDataFrame(certain, RUNS), 50, -7).first()) == (1.0, 1.0, 1.0)
+
+
+def test_tasks_of_equal_counts_are_resampled_together(spark, monkeypatch):
+    """Many tasks of few different counts: the law of the plain resample, at the cost of the counts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(evals, "BLOCK_TASKS", 4)
+    few = make_runs(5, 12)
+    rows = [(f"{t}-{i}", arm, passed) for i in range(20) for t, arm, passed in few]
+    got = evals.bootstrap_interval(spark.createDataFrame(rows, RUNS), 3000, 7).first()
+    counts = counts_of(rows)
+    error = closed_form_error(counts)
+    assert got.estimate == pytest.approx(statistics.fmean(kb / nb - kc / nc for nb, kb, nc, kc in counts.values()))
+    lo, hi = plain_interval(counts, 1000, random.Random(3))
+    assert abs(got.lo - lo) < 0.3 * error and abs(got.hi - hi) < 0.3 * error
+    assert abs(got.lo - (got.estimate - 1.96 * error)) < 0.2 * error
+    monkeypatch.undo()
+    number = F.col("id") % 4
+    runs = spark.range(800_000).select(
+        F.floor(F.col("id") / 4).alias("task"), F.when(number < 2, "bootstrap").otherwise("control").alias("arm"), (F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("passed")
+    )
+    start = time.time()
+    assert evals.bootstrap_interval(runs, 5000, 7).first().estimate is not None
+    assert time.time() - start < 40
