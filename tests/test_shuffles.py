@@ -95,3 +95,9 @@ def test_manifests_are_gathered_from_flat_rows(spark):
     assert [e["ref"] for e in got[1]["entries"]] == ["elsewhere", "a.ts#z", "b.ts"]
     assert got[1]["totals"] == {"file_tokens": 16, "tokens": 8}
     assert got[2]["entries"] == [] and got[2]["generated_at"] == "now" and list(got[2]) == sorted(got[2])
+
+
+def test_verdicts_are_judged_in_many_tasks_from_one_scan(spark):
+    plan = queries()["j39_pairwise_verdicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+    assert "REPARTITION_BY_NUM" in plan
