@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from fleetledger.operators import fileindex, units
-from fleetledger.sources import artifacts
+from fleetledger.sources import artifacts, bindings
 
 
 def plain_regex(glob):
@@ -126,3 +126,11 @@ def test_tags_are_looked_up_on_any_export(spark):
     tags = spark.createDataFrame([("r", "x"), ("r", "y"), ("r", "y"), ("s", "x")], "repo_id string, tag string")
     got = sorted((r.repo_id, r.tag, r.path, r.layer) for r in units.files_by_tag(files, units.tag_postings(exports), tags).collect())
     assert got == [("r", "x", "a", 1), ("r", "y", "a", 1)]
+
+
+def test_filters_on_raw_paths_read_the_json_once(spark):
+    """A filter that the optimizer pushes below the path must not read the number again in every branch that compares it."""
+    paths = bindings.raw_paths(spark, "/root/testdata/sf0.001")
+    for column in ("path", "word"):
+        plan = paths.where(F.length(column) > 3).select(column)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object") <= 2
