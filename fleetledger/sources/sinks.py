@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetledger.operators.ordered import ordinal
 
 PAGE_ROWS = 500
+#: Consecutive pages that are dealt to one task.
+PAGES_TOGETHER = 200
 
 
 def index_sections(entries: DataFrame) -> DataFrame:
@@ -56,7 +58,11 @@ def paged(entries: DataFrame, order: list[Column], bucket: Column, rows_per_page
 
 
 def write_pages(entries: DataFrame, path: str) -> None:
-    entries.write.partitionBy("repo_id", "page").mode("overwrite").parquet(path)
+    """Pages as Parquet, a folder a repository. A page lies whole in one file, its rows next to each other, so that a page is
+    read by its number from the row groups that hold it; files grow with the rows, not one with every page."""
+    together = F.floor(F.col("page") / PAGES_TOGETHER)
+    ordered = entries.repartition("repo_id", together).sortWithinPartitions("repo_id", "page")
+    ordered.write.partitionBy("repo_id").mode("overwrite").parquet(path)
 
 
 def write_relation(relation: DataFrame, path: str) -> None:

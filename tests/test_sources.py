@@ -148,3 +148,12 @@ def test_one_code_is_audited_by_the_rules_that_decide_on_it(spark):
     for name in ("h1_session_state_invalid", "h11_session_stale"):
         plan = queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= 2
+
+
+def test_pages_lie_whole_in_few_files(spark, tmp_path):
+    rows = spark.range(20_000).select(F.concat(F.lit("r"), F.col("id") % 2).alias("repo_id"), "id", F.floor(F.col("id") / 20).alias("page"))
+    path = f"file://{tmp_path}/pages"
+    sinks.write_pages(rows.repartition(5), path)
+    read = spark.read.parquet(path)
+    assert read.count() == 20_000 and len(read.inputFiles()) < 50
+    assert read.groupBy("repo_id", "page").agg(F.countDistinct("_metadata.file_path").alias("files")).where("files > 1").count() == 0
