@@ -17,6 +17,8 @@ from fleetledger.functions.paths import ALWAYS_IGNORED_DIRS
 _LISTED = "path string, size_bytes long, is_dir boolean"
 #: Tasks that list one level, at most.
 MOST_TASKS = 1024
+#: Files and bytes that one task reads, about; bytes of texts that it holds before it hands them on.
+READ_FILES, READ_BYTES, HELD_BYTES = 2_000, 64 << 20, 4 << 20
 
 
 def _file_system(root: str):
@@ -110,8 +112,37 @@ def read_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, text`` of the whole files under a folder whose names match, of those that :func:`read_inventory` lists."""
+    """``path, text`` of the whole files under a folder whose names match, of those that :func:`read_inventory` lists, and
+    for trees of that size; :func:`read_listed` reads what :func:`list_tree` lists."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     found = read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     return found.select(relative(decoded, root).alias("path"), "text")
+
+
+def read_listed(listed: DataFrame, root: str) -> DataFrame:
+    """``path, text`` of the whole files that :func:`list_tree` lists under a folder, empty ones included. Tasks open the
+    files, dealt by their number and bytes; a task holds a few megabytes of texts, or one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _file_system(root)
+
+        def handed(paths: list[str], texts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "content"])
+
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(f"{base}/{path}") as file:
+                    texts.append(file.read())
+                paths.append(path)
+                held += len(texts[-1])
+                if held > HELD_BYTES:
+                    yield handed(paths, texts)
+                    paths, texts, held = [], [], 0
+            yield handed(paths, texts)
+
+    whole = listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
+    # few bytes and much work: a stated number of partitions, which adaptive execution leaves as they are
+    dealt = listed.select("path").repartition(1 + whole.files // READ_FILES + whole.bytes // READ_BYTES, "path")
+    return dealt.mapInArrow(run, "path string, content binary").select("path", F.col("content").cast("string").alias("text"))

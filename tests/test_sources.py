@@ -66,6 +66,20 @@ def test_whole_texts_come_back(spark, root):
     assert {r.path for r in trees.read_texts(spark, root, "*.ts").collect()} <= {p for p in FILES if p.endswith(".ts")}
 
 
+def test_listed_files_are_read_whole(spark, root, tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "READ_FILES", 2)
+    listed = trees.list_tree(spark, root, f"file://{tmp_path}/levels", ignored=())
+    texts = trees.read_listed(listed, root)
+    assert sorted((r.path, r.text) for r in texts.collect()) == sorted([*FILES.items(), ("null.txt", "")])
+    assert texts.rdd.getNumPartitions() == 1 + 8 // 2
+
+
+def test_read_tree_is_not_cut_into_tasks_of_few_files(spark):
+    read = queries()["s2_read_tree"](spark, "/root/testdata/sf0.001")
+    files = read.count()
+    assert files > 300 and read.rdd.getNumPartitions() < files / 32
+
+
 def test_inventory_reads_no_content(spark, root):
     plan = trees.read_inventory(spark, root)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
