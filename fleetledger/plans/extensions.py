@@ -24,21 +24,29 @@ def token_counter(count: Callable[[pd.Series], pd.Series]) -> Callable[[Column],
     """Wrap a batch token counter as ``struct<tokens, accurate>``.
 
     Where the counter fails on a batch, its texts are counted one by one, and those on which it fails alone fall back to
-    the byte estimate and are marked inaccurate: the result doesn't depend on how rows were batched.
+    the byte estimate and are marked inaccurate: the result doesn't depend on how rows were batched. A null text has null
+    tokens and is not given to the counter. A lack of memory is no failure of the counter and stops the job.
     """
 
-    def one(text: str) -> tuple[int, bool]:
+    def one(text: str | None) -> tuple[int | None, bool]:
         try:
-            return int(count(pd.Series([text])).iloc[0]), True
+            counts = count(pd.Series([] if text is None else [text], dtype=object))
+            return None if text is None else int(counts.iloc[0]), True
+        except MemoryError:
+            raise
         except Exception:
-            return -(-len(text.encode("utf-8")) // 4), False
+            return None if text is None else -(-len(text.encode("utf-8")) // 4), False
 
     @F.pandas_udf("tokens long, accurate boolean")
     def counted(texts: pd.Series) -> pd.DataFrame:
+        known = texts.notna()
         try:
-            return pd.DataFrame({"tokens": count(texts).astype("int64"), "accurate": True})
+            tokens = count(texts[known]).astype("int64").astype("Int64").reindex(texts.index)
+            return pd.DataFrame({"tokens": tokens, "accurate": True})
         except Exception:
-            return pd.DataFrame([one(t or "") for t in texts], columns=["tokens", "accurate"])
+            each = [one(t if there else None) for t, there in zip(texts, known, strict=True)]
+            tokens, accurate = zip(*each, strict=True) if each else ((), ())
+            return pd.DataFrame({"tokens": pd.array(tokens, dtype="Int64"), "accurate": pd.array(accurate, dtype=bool)})
 
     return counted
 
