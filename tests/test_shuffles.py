@@ -76,6 +76,36 @@ def test_declared_units_are_dealt_once(spark):
     assert {n: m for n in most if (m := exchanges(queries()[n](spark, SF))) > most[n]} == {}
 
 
+def test_lines_are_shuffled_once(spark):
+    for name in ("j16_layer_escalation", "w6_focused_units", "k5_manifest_documents"):
+        df = queries()[name](spark, SF)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("FileScan parquet [l_") == 1, name
+
+
+def test_hashes_are_made_where_entries_have_met(spark):
+    made = queries()["k5_manifest_documents"](spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # below the gathering no hash of a path or of a focused unit is made, only those that renders show
+    assert "md5(cast(coalesce" in plan and "md5(cast(path" not in plan
+
+
+def test_units_bring_ids_that_do_not_begin_with_their_base(spark):
+    schema = "repo_id string, path string, unit_id string, base_id string, start int, refs int"
+    declared = [("r", "a.ts", "own", "Kit.run", 1, 2), ("r", "a.ts", "Kit.run~2", "Kit.run", 5, None), ("r", "b.ts", "run", "run", 3, 0)]
+    importers = spark.createDataFrame([], "repo_id string, path string, base_id string, importers long")
+    chosen = units.unit_choices(spark.createDataFrame(declared, schema), importers)
+    got = sorted((r.name, r.path, r.base_id, r.unit_id, r.declarations, r.evidenced, r.chosen, r.evidence) for r in chosen.collect() if r.start != 5)
+    assert got == [
+        ("Kit.run", "a.ts", "Kit.run", "own", 1, 1, True, None),
+        ("run", "a.ts", "Kit.run", "own", 2, 1, True, "referenced 2× in its file"),
+        ("run", "b.ts", "run", "run", 2, 1, False, None),
+    ]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(unit_id" in plan[plan.index("Window") :]
+
+
 def test_manifests_are_gathered_from_flat_rows(spark):
     schema = ("repo_id string, chunk_id int, position int, ref string, path string, granularity string, tokens long, file_tokens long,"
               " hash string, start long, end long, reason string, task string, evidence string, listed boolean")
