@@ -65,17 +65,19 @@ def text_targets(texts: DataFrame, files: DataFrame, keep: list[str]) -> DataFra
     """
     key = ["repo_id", *keep]
     tokens = unnest(texts, key, _tokens(F.col("text")), ["token"])
-    tried = unnest(tokens, [*key, "token"], tails(F.split("token", "/")))
+    # a tail meets the files with what its token has before it, not with the token beside it
+    before = F.expr("left(token, length(token) - length(tail))").alias("before")
+    tried = unnest(tokens, [*key, "token"], tails(F.split("token", "/"))).select(*key, "tail", "size", before)
     whole = F.col("tail") == F.array_join("parts", "/")
     counted = _file_tails(files, ["parts"]).groupBy("repo_id", "tail").agg(
         F.count("*").alias("n"), F.min("path").alias("path"),
         F.count_if(whole).alias("whole_n"), F.min(F.when(whole, F.col("path"))).alias("whole_path"),
     )
-    own = F.col("tail") == F.col("token")
+    own = F.col("before") == ""
     met = tried.join(counted, ["repo_id", "tail"]).where(own | (F.col("whole_n") > 0))
     best = F.struct(F.when(own, F.col("n")).otherwise(F.col("whole_n")).alias("n"), F.when(own, F.col("path")).otherwise(F.col("whole_path")).alias("path"))
     return (
-        met.select(*key, "token", "size", best.alias("best"))
+        met.select(*key, F.concat("before", "tail").alias("token"), "size", best.alias("best"))
         .repartition(*key)
         .groupBy(*key, "token")
         .agg(F.max_by("best", "size").alias("best"))

@@ -84,6 +84,22 @@ def test_lines_are_shuffled_once(spark):
         assert final.count("FileScan parquet [l_") == 1, name
 
 
+def test_plan_tags_read_the_lines_in_one_shuffle(spark):
+    df = queries()["j15_plan_tags"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet [l_") == 1
+
+
+def test_tails_meet_files_without_their_token(spark):
+    texts = spark.createDataFrame([("r", 1, "see a/b/x.ts"), ("r", 2, "y.ts and q/y.ts")], "repo_id string, chunk_id int, text string")
+    files = spark.createDataFrame([("r", "b/x.ts"), ("r", "c/y.ts")], "repo_id string, path string")
+    found = references.referenced_files(texts, files)
+    assert sorted(tuple(r) for r in found.collect()) == [("r", "b/x.ts", 1), ("r", "c/y.ts", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(token" in plan[plan.index("Join Inner") :]
+
+
 def test_hashes_are_made_where_entries_have_met(spark):
     made = queries()["k5_manifest_documents"](spark, SF)
     plan = made._jdf.queryExecution().executedPlan().toString()
